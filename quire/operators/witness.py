@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _runs(n: int):
+    """All runs of ``n`` tokens of the array column ``_t``, as (n, key)."""
+    return F.transform(
+        F.sequence(F.lit(1), F.size("_t") - n + 1),
+        lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", i, F.lit(n)), " ").alias("key")),
+    )
+
+
 def contains_run(hay: DataFrame, needles: DataFrame, hay_col: str, needle_col: str, width: int = 4) -> DataFrame:
     """Rows of ``hay`` whose padded skeleton contains a needle's as a contiguous token run.
 
@@ -17,9 +25,8 @@ def contains_run(hay: DataFrame, needles: DataFrame, hay_col: str, needle_col: s
     probe = probe.withColumn("_n", F.least(F.size("_t"), F.lit(width))).withColumn("_key", F.array_join(F.slice("_t", 1, F.col("_n")), " "))
     sizes = sorted(r["_n"] for r in probe.select("_n").distinct().collect())  # at most ``width`` values
     tokens = F.split(F.trim(hay_col), " ")
-    runs = [F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", i, F.lit(n)), " ").alias("key"))) for n in sizes]
     none = F.array().cast("array<struct<n:int,key:string>>")
-    parts = [F.when(F.size("_t") >= n, r).otherwise(none) for n, r in zip(sizes, runs, strict=True)] or [none]
+    parts = [F.when(F.size("_t") >= n, _runs(n)).otherwise(none) for n in sizes] or [none]
     keyed = hay.withColumn("_t", tokens).withColumn("_k", F.explode(F.array_distinct(F.concat(*parts)))).drop("_t")
     pairs = keyed.join(probe.drop("_t"), (F.col("_k.n") == F.col("_n")) & (F.col("_k.key") == F.col("_key")))
     return pairs.where(F.contains(F.col(hay_col), F.col(needle_col))).drop("_k", "_n", "_key")
