@@ -34,39 +34,22 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _jumps(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """Nodes with jump columns j0, j1, ...: the 1st, 2nd, 4th, ... ancestor; depth and path score.
+def _hops(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (node, above, gain): the 1st, 2nd, 4th, ... ancestor of every node that has one.
 
-    Each round joins the table with itself, doubling the reach, until no node has an ancestor that
-    far up. On a cycle, reach never ends; such nodes are found as still having an ancestor after as
-    many rounds as the number of nodes allows, and are dropped.
+    ``gain`` sums the scores from the node up to below that ancestor. Each round joins the last table
+    with itself, doubling the reach, until no node has an ancestor that far up; only nodes that still
+    have one take part. On a cycle reach never ends: after as many rounds as the number of nodes
+    allows, what still has an ancestor is on or below a cycle, and the last table keeps those.
     """
-    nodes = cut(nodes)
-    known = nodes.select(F.col("node").alias("parent")).distinct().withColumn("known", F.lit(True))
-    table = cut(
-        nodes.join(known, "parent", "left")
-        .select("tree", "node", "score", F.when(F.col("known"), F.col("parent")).alias("j0"))
-        .withColumn("depth", F.when(F.col("j0").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
-    )
-    n, rounds = max(1, table.count()), 0
-    limit = n.bit_length() + 1
-    while rounds < limit and table.where(F.col(f"j{rounds}").isNotNull()).limit(1).count():
-        here = F.col(f"j{rounds}")
-        far = table.select(
-            F.col("node").alias("_node"), F.col(f"j{rounds}").alias(f"j{rounds + 1}"),
-            F.col("depth").alias("_depth"), F.col("score").alias("_score"),
-        )
-        table = cut(
-            table.join(far, here == F.col("_node"), "left")
-            .withColumn("depth", F.col("depth") + F.coalesce("_depth", F.lit(0)))
-            .withColumn("score", F.col("score") + F.coalesce("_score", F.lit(0.0)))
-            .drop("_node", "_depth", "_score")
-        )
-        rounds += 1
-    if rounds == limit:
-        table = cut(table.where(F.col(f"j{rounds}").isNull()).drop(f"j{rounds}"))
-        rounds -= 1
-    return table, rounds
+    known = nodes.select(F.col("node").alias("above"))
+    hop = nodes.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("above"), F.col("score").alias("gain"))
+    hops = [cut(hop.join(known, "above", "left_semi").select("node", "above", "gain"))]
+    limit = max(1, nodes.count()).bit_length() + 1
+    while len(hops) <= limit and hops[-1].limit(1).count():
+        far = hops[-1].select(F.col("node").alias("above"), F.col("above").alias("_above"), F.col("gain").alias("_gain"))
+        hops.append(cut(hops[-1].join(far, "above").select("node", F.col("_above").alias("above"), (F.col("gain") + F.col("_gain")).alias("gain"))))
+    return hops
 
 
 def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -80,15 +63,28 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     only the chosen paths are expanded to rows.
     """
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
-    table, rounds = _jumps(messages.select("tree", "node", "parent", score))
-    inner = table.where(F.col("j0").isNotNull()).select(F.col("j0").alias("node")).distinct()
-    leaves = table.join(inner, "node", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "node"))
-    paths = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
-    paths = cut(paths.select("tree", "branch", "node", F.col("depth").alias("position")))
-    for k in range(rounds - 1, -1, -1):
+    nodes = cut(messages.select("tree", "node", "parent", score))
+    *hops, cyclic = _hops(nodes)
+    leaves = nodes.select("tree", "node", "score").join(cyclic, "node", "left_anti")
+    if hops:
+        leaves = leaves.join(hops[0].select(F.col("above").alias("node")), "node", "left_anti")
+    leaves = cut(leaves.withColumns({"at": F.col("node"), "total": F.lit(0.0), "position": F.lit(0)}))
+    for k, hop in reversed([*enumerate(hops)]):
+        far = hop.select(F.col("node").alias("at"), F.col("above").alias("_above"), F.col("gain").alias("_gain"))
+        there = F.col("_above").isNotNull()
+        leaves = cut(
+            leaves.join(far, "at", "left")
+            .withColumn("total", F.col("total") + F.coalesce("_gain", F.lit(0.0)))
+            .withColumn("position", F.col("position") + F.when(there, 1 << k).otherwise(0))
+            .withColumn("at", F.coalesce("_above", "at"))
+            .drop("_above", "_gain")
+        )
+    # what is left to add is the root's own score
+    leaves = leaves.join(nodes.select(F.col("node").alias("at"), F.col("score").alias("_root")), "at").withColumn("total", F.col("total") + F.col("_root"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("position"), "node"))
+    paths = cut(leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", "branch", "node", "position"))
+    for k, hop in reversed([*enumerate(hops)]):
         # every row stands for 2^(k+1) nodes upwards; it hands the upper half to its 2^k-th ancestor
-        hop = table.where(F.col(f"j{k}").isNotNull()).select("node", F.col(f"j{k}").alias("above"))
         upper = paths.join(hop, "node").select("tree", "branch", F.col("above").alias("node"), (F.col("position") - (1 << k)).alias("position"))
         paths = cut(paths.unionByName(upper))
     return paths
