@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, secrets
+from quire.llm import chat, exact_dedup, secrets, substring_dedup
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -57,3 +57,9 @@ def op7_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     samples = secrets.random_samples(spark).unionByName(secrets.identifier_samples(docs))
     return secrets.secret_digest(secrets.scan_secrets(docs, samples))
+
+
+@REGISTRY.add("op9_substring_dedup")
+def op9_substring_dedup(spark, sf_dir):
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
