@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, secrets, substring_dedup
+from quire.llm import chat, decontaminate, exact_dedup, mixing, secrets, substring_dedup, toxicity
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -63,3 +63,29 @@ def op7_secret_scan(spark, sf_dir):
 def op9_substring_dedup(spark, sf_dir):
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@REGISTRY.add("op1_mix_sources")
+def op1_mix_sources(spark, sf_dir):
+    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    copies = F.size("mix.shards")
+    return rows.select(
+        "doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"),
+        (F.col("mix.size") * copies).cast("long").alias("taken"), copies.alias("copies"),
+    )
+
+
+@REGISTRY.add("op5_decontaminate")
+def op5_decontaminate(spark, sf_dir):
+    """Contaminated documents with the benchmark items that they hold."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("hits", lambda h: h["item"].cast("string")), ",")
+    most = F.array_max(F.transform("hits", lambda h: h["covered"] / h["item_words"]))
+    return found.where(F.size("hits") > 0).select("doc_id", F.lit(True).alias("contaminated"), items.alias("items"), F.round(most, 6).alias("covered"))
+
+
+@REGISTRY.add("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", F.round("severity", 9).alias("severity"), "grade", "toxic")
