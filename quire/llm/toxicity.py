@@ -117,7 +117,8 @@ def fit_ordinal(f: Features, grades: np.ndarray, l2: float = 0.02, steps: int =
 
     Cuts are the first one plus positive gaps, so they stay in order. ``grades`` are 0..K-1 with K at
     least 2. Words have a weight if they occur in ``MIN_ROWS`` rows and their rates in the lowest
-    grade and above differ by ``MIN_EVIDENCE``; without rows, or with one grade, none has.
+    grade and above differ by ``MIN_EVIDENCE``; with one grade, none has. Without rows
+    everything is taken for grade 0.
     """
     top = max(1, int(grades.max())) if len(grades) else 1
     toxic = grades > 0
@@ -138,6 +139,8 @@ def fit_ordinal(f: Features, grades: np.ndarray, l2: float = 0.02, steps: int =
     theta = np.concatenate([np.zeros(len(used)), [first], gaps])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     vocabulary = f.vocabulary[used]
+    if not len(grades):
+        return OrdinalModel(vocabulary, np.zeros(0), np.array([10.0]))
     if not n_toxic or not n_clean:
         return OrdinalModel(vocabulary, np.zeros(0), np.array([first, *(first + np.cumsum(np.exp(gaps)))]))
     for step in range(1, steps + 1):
