@@ -19,6 +19,7 @@ CHUNK_WINDOWS = 2_000_000
 WORD_BYTES = 6
 
 RUNS = "bucket int, done boolean, docs binary, index binary, wide boolean, hashes binary, hash_bytes int"
+PARTS = "part int, docs binary, counts binary, hashes binary"
 REPEATS = "doc long, hashes binary"
 
 
@@ -109,12 +110,14 @@ def _map_runs(bits: int, width: int):
 
 
 def _merge_bucket(bits: int):
+    """Of the runs of a bucket, the repeats, dealt into parts by document and packed to a row per part."""
+
     def merge(key, rows):
-        done, hashes, docs = {"doc": [], "hashes": []}, [], []
+        hashes, docs, done_docs, done_hashes = [], [], [], []
         for r in rows.to_pylist():
             if r["done"]:
-                done["doc"].append(int.from_bytes(r["docs"], "little", signed=True))
-                done["hashes"].append(r["hashes"])
+                done_hashes.append(np.frombuffer(r["hashes"], W.U64))
+                done_docs.append(np.full(len(done_hashes[-1]), int.from_bytes(r["docs"], "little", signed=True)))
                 continue
             hashes.append(_ungap(r["hashes"], r["hash_bytes"]))
             docs.append(np.frombuffer(r["docs"], np.int64)[np.frombuffer(r["index"], np.uint32 if r["wide"] else np.uint16)])
@@ -125,22 +128,38 @@ def _merge_bucket(bits: int):
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             least = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(hashes))))
             again = docs > least
-            hashes, docs = hashes[again], docs[again]
-            if bits:
-                hashes = hashes | (W.U64(key[0].as_py()) << W.U64(64 - bits))
-            order = np.argsort(docs, kind="stable")
-            docs, hashes = docs[order], hashes[order]
-            first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(docs))
-            done["doc"] += docs[first].tolist()
-            done["hashes"] += [hashes[a:b].tobytes() for a, b in zip(first, ends, strict=False)]
-        return pa.table({"doc": pa.array(done["doc"], pa.int64()), "hashes": pa.array(done["hashes"], pa.binary())})
+            done_docs.append(docs[again])
+            done_hashes.append(hashes[again] | (W.U64(key[0].as_py()) << W.U64(64 - bits)) if bits else hashes[again])
+        docs, hashes = np.concatenate(done_docs), np.concatenate(done_hashes)
+        part = (W.mix(docs.astype(W.U64)) % W.U64(1 << bits)).astype(np.int64)
+        order = np.lexsort((docs, part))
+        docs, hashes, part = docs[order], hashes[order], part[order]
+        edges = np.searchsorted(part, np.arange((1 << bits) + 1))
+        out = []
+        for p in np.flatnonzero(np.diff(edges)):
+            some, counts = np.unique(docs[edges[p] : edges[p + 1]], return_counts=True)
+            out.append((int(p), some.tobytes(), counts.astype(np.uint32).tobytes(), hashes[edges[p] : edges[p + 1]].tobytes()))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PARTS.split(", ")])
 
     return merge
 
 
+def _by_document(rows):
+    """One row per document of a part: its repeated hashes."""
+    rows = rows.to_pylist()
+    docs = np.concatenate([np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in rows])
+    hashes = np.concatenate([np.frombuffer(r["hashes"], W.U64) for r in rows])
+    order = np.argsort(docs, kind="stable")
+    docs, hashes = docs[order], hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    lists = [hashes[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(docs)), strict=True)]
+    return pa.table([pa.array(docs[first], pa.int64()), pa.array(lists, pa.binary())], names=["doc", "hashes"])
+
+
 def repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc, hashes): windows of a document that also start in a document with a smaller id.
+    """(doc, hashes), a row per document: windows of a document that also start in a document with a smaller id.
 
     ``docs`` has (id, text). Map tasks hash every window of every text and reduce chunks of them to
     sorted runs with the smallest document per hash, so that a passage of many documents sends one
@@ -152,8 +171,8 @@ def repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
     bits = max(0, (int(size) // WORD_BYTES // CHUNK_WINDOWS).bit_length())
     known = docs.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "text")
     runs = known.mapInArrow(_map_runs(bits, width), RUNS)
-    merged = runs.groupBy("bucket").applyInArrow(_merge_bucket(bits), REPEATS)
-    return written(merged, "repeats")
+    parts = runs.groupBy("bucket").applyInArrow(_merge_bucket(bits), PARTS)
+    return written(parts.groupBy("part").applyInArrow(_by_document, REPEATS), "repeats")
 
 
 def _intervals(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +197,13 @@ def _cut_part(part: pa.RecordBatch, width: int, with_text: bool) -> pa.RecordBat
     texts = part.column("text").fill_null("").to_pylist()
     lists = part.column("hashes").to_pylist()
     rows = []
-    for text, blobs in zip(texts, lists, strict=True):
+    for text, blob in zip(texts, lists, strict=True):
         kept = text.encode().split()  # bytes.split() splits at ASCII white space
         n, starts, ends = len(kept), [], []
-        if blobs:
+        if blob:
             data = np.frombuffer(text.encode(), np.uint8)
             found = W.window_hashes(W.Words(data, np.array([0, len(data)])).hashes(), width)
-            hit = np.flatnonzero(np.isin(found, np.frombuffer(b"".join(blobs), W.U64)))
+            hit = np.flatnonzero(np.isin(found, np.frombuffer(blob, W.U64)))
             edge = np.zeros(n + 1, np.int32)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + width, -1)
@@ -213,7 +232,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lists = repeated_windows(rows, width).groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
+    lists = repeated_windows(rows, width)
     joined = rows.join(lists, F.col("id") == F.col("doc"), "left").select("id", "text", "hashes")
     kind = rows.schema["id"].dataType.simpleString()
     return joined.mapInArrow(_cut(width, with_text), f"id {kind}, {OUT}").withColumnRenamed("id", id_col)
