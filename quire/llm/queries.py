@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, exact_dedup, mixing, secrets, substring_dedup, toxicity
+from quire.llm import chat, decontaminate, exact_dedup, mixing, secrets, substring_dedup, token_files, toxicity
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -89,3 +90,8 @@ def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).select("doc_id", F.round("severity", 9).alias("severity"), "grade", "toxic")
+
+
+@REGISTRY.add("op2_token_files")
+def op2_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
