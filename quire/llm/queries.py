@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, exact_dedup, mixing, secrets, substring_dedup, token_files, toxicity
+from quire.llm import chat, decontaminate, exact_dedup, jaccard, mixing, pseudo_likelihood, secrets, substring_dedup, token_files, toxicity
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -95,3 +95,15 @@ def op8_toxicity(spark, sf_dir):
 @REGISTRY.add("op2_token_files")
 def op2_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@REGISTRY.add("op10_jaccard_join")
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op6_lm_score")
+def op6_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return scored.select("doc_id", "n_tokens", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("mean", 6).alias("mean"))
