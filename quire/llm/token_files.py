@@ -22,20 +22,29 @@ SHARD_TOKENS = 4_000_000
 #: Bytes of text per partition that is encoded by one task.
 PART_BYTES = 16 << 20
 #: Pieces whose ids a worker remembers at most.
-MEMORY = 400_000
+MEMORY = 600_000
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
-# a space next to other white space or to an end of the text
-_ODD = re.compile(r" \s|\s |\A |\s\Z")
+# white space but spaces and line breaks, and the mark for stops; stops not after a letter or digit
+_RARE = re.compile("[\t\r\x02\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUN = re.compile(r"[\W_][.,](?:[ \n]|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _simple(text: str) -> bool:
+    """Whether single spaces and line breaks between words, and stops after words, are all there is to cut at."""
+    if not text or text[0] in " \n.," or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not _RARE.search(text) and not _RUN.search(text)
+
+
 class Encoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library.
 
-    Its pre-tokenizer starts a new piece at every space between two non-space characters, so a text
-    is cut there and each distinct piece encoded by the library once. Strings of special tokens in a
-    text are ordinary text.
+    Its pre-tokenizer starts a new piece at every space between two non-space characters, takes a line
+    break between two such characters as a piece, and a full stop or comma between a letter or digit
+    and white space. Texts are cut there and each distinct piece encoded by the library once. Strings of
+    special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +58,9 @@ class Encoder:
         self.spaced = np.zeros(1 << self.levels, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks = {mark + "\x02": self._plain(mark) for mark in ".,"}
+        self.line = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -68,21 +80,34 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        cut = []
-        for text in texts:
-            if _ODD.search(text):
-                head, *rest = _CUT.split(text)
-                cut.append((head, [p[1:] for p in rest]))
-            else:
-                head, *rest = text.split(" ")
-                cut.append((head, rest))
         if len(self.known) > MEMORY:
             self.known.clear()
-        new = set().union(*[rest for _, rest in cut]).difference(self.known)
+        if len(self.heads) > MEMORY // 4:
+            self.heads.clear()
+        self.known.update(self.marks)
+        cut, new = [], set()
+        for text in texts:
+            if _simple(text):
+                text = (text + "\n").replace(". ", " .\x02 ").replace(", ", " ,\x02 ").replace(".\n", " .\x02\n").replace(",\n", " ,\x02\n")[:-1]
+                lines = [(line[0], line[1:]) for line in (x.split(" ") for x in text.split("\n"))]
+            elif "\x02" in text:
+                lines = [(text, [])]
+            else:
+                head, *rest = _CUT.split(text)
+                lines = [(head, [p[1:] for p in rest])]
+            for _, rest in lines:
+                new.update(set(rest).difference(self.known))
+            cut.append(lines)
         if new:
-            self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [(self._plain(head) if head else b"") + b"".join(map(get, rest)) for head, rest in cut]
+            self._learn(list(new))
+        get, head_of = self.known.__getitem__, self._head
+        return [self.line.join([head_of(head) + b"".join(map(get, rest)) for head, rest in lines]) for lines in cut]
+
+    def _head(self, piece: str) -> bytes:
+        """Ids of a piece at the start of a line or text."""
+        if piece not in self.heads:
+            self.heads[piece] = self._plain(piece) if piece else b""
+        return self.heads[piece]
 
 
 def _payload(levels: int, docs: list, blobs: list[bytes], kind: np.dtype) -> tuple[bytes, int]:

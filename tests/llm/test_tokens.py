@@ -39,7 +39,7 @@ def plain(text):
 
 def test_pieces_equal_the_library():
     rng = random.Random(1)
-    bits = ["the", "é", "𝄞", " ", "  ", "\n", "\t", " \n", "'s", "12", "a1!", "...", " ", "　", "<|endoftext|>", "don't", "\x1c", "\x85", "​", "ция"]
+    bits = ["the", "é", "𝄞", " ", "  ", "\n", "\t", " \n", "'s", "12", "a1!", "...", " ", "　", "<|endoftext|>", "don't", "\x1c", "\x85", "a.", "x,", "!.", "_.", "\x02", ".\x02", "​", "ция"]
     texts = ["", " ", "a ", " a", "a  b", "\n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(600)] + [" ".join(rng.choice(bits) for _ in range(20)) for _ in range(200)]
     encoder = token_files.Encoder(PATH)
     for text, got in zip(texts, encoder.encode(texts), strict=True):
