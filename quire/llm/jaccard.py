@@ -168,15 +168,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _brute_force(agree: int):
-    """Edges of small buckets: every pair of signatures is compared."""
+    """Edges of small buckets: every pair of signatures is compared, and what is connected linked to its smallest node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for nodes, signatures in _groups(batches):
+            root = np.arange(len(nodes))
             for i in range(len(nodes) - 1):
                 same = np.flatnonzero((signatures[i + 1 :] == signatures[i]).sum(1) >= agree) + i + 1
-                a += [int(nodes[i])] * len(same)
-                b += nodes[same].tolist()
+                if len(same):
+                    joined = np.unique(root[np.append(same, i)])
+                    root[np.isin(root, joined)] = joined[0]
+            for r in np.unique(root):
+                group = nodes[root == r]
+                if len(group) > 1:
+                    least = int(group.min())
+                    a += [least] * (len(group) - 1)
+                    b += group[group != least].tolist()
             if len(a) > 50_000:
                 yield _edges(a, b)
                 a, b = [], []
@@ -250,7 +258,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         large = shared.where(F.col("members") > BUCKET)
         if level < LEVELS:
             rows = large.select("path", "node", "used", "signature").mapInArrow(_children(threshold), PATHS)
-    salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(4 * TILE))))
+    salted = large.select("path", "node", "signature", "members").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(4 * TILE))))
     lead = written(salted.select("path", "salt", "node", "signature").repartition("path", "salt").sortWithinPartitions("path", "salt").mapInArrow(_lead(agree), LEADERS), "leaders")
     heads = lead.where("b is null").select("path", F.col("a").alias("node"), "signature")
     far = 1 - (2 * (1 - agree / SIGNATURE) + 1 - threshold)
