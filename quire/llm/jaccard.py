@@ -22,7 +22,7 @@ BRANCHING = 2.0
 #: Buckets of a path above this size are split by further tokens.
 BUCKET = 64
 #: Levels of splitting; what is still large after the last is compared through leaders.
-LEVELS = 3
+LEVELS = 2
 #: Members of a candidate group that one task compares at a time.
 TILE = 1024
 
