@@ -7,26 +7,54 @@ from pyspark.sql import functions as F
 
 
 def _runs(n: int):
-    """All runs of ``n`` tokens of the array column ``_t``, as (n, key)."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size("_t") - n + 1),
-        lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", i, F.lit(n)), " ").alias("key")),
-    )
+    """Hashes of all runs of ``n`` tokens of the array column ``_t``."""
+    return F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice("_t", i, F.lit(n))))
 
 
 def contains_run(hay: DataFrame, needles: DataFrame, hay_col: str, needle_col: str, width: int = 4) -> DataFrame:
     """Rows of ``hay`` whose padded skeleton contains a needle's as a contiguous token run.
 
-    Candidates come from an equi-join on the needle's first ``width`` tokens against every
-    run of that many tokens of the hay, so no pair is tested without a shared run; needles
+    Candidates come from an equi-join on the hash of the needle's first ``width`` tokens against
+    every run of that many tokens of the hay, so no pair is tested without a shared run; needles
     shorter than ``width`` join on their own length. An empty needle matches nothing.
     """
     probe = needles.withColumn("_t", F.split(F.trim(needle_col), " ")).where(F.length(F.trim(needle_col)) > 0)
-    probe = probe.withColumn("_n", F.least(F.size("_t"), F.lit(width))).withColumn("_key", F.array_join(F.slice("_t", 1, F.col("_n")), " "))
+    probe = probe.withColumn("_n", F.least(F.size("_t"), F.lit(width)))
+    probe = probe.withColumn("_key", F.xxhash64("_n", F.slice("_t", 1, F.col("_n"))))
     sizes = sorted(r["_n"] for r in probe.select("_n").distinct().collect())  # at most ``width`` values
-    tokens = F.split(F.trim(hay_col), " ")
-    none = F.array().cast("array<struct<n:int,key:string>>")
+    none = F.array().cast("array<bigint>")
     parts = [F.when(F.size("_t") >= n, _runs(n)).otherwise(none) for n in sizes] or [none]
-    keyed = hay.withColumn("_t", tokens).withColumn("_k", F.explode(F.array_distinct(F.concat(*parts)))).drop("_t")
-    pairs = keyed.join(probe.drop("_t"), (F.col("_k.n") == F.col("_n")) & (F.col("_k.key") == F.col("_key")))
-    return pairs.where(F.contains(F.col(hay_col), F.col(needle_col))).drop("_k", "_n", "_key")
+    keyed = hay.withColumn("_t", F.split(F.trim(hay_col), " ")).withColumn("_key", F.explode(F.array_distinct(F.concat(*parts)))).drop("_t")
+    pairs = keyed.join(probe.drop("_t", "_n"), "_key")
+    return pairs.where(F.contains(F.col(hay_col), F.col(needle_col))).drop("_key")
+
+
+def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Full outer pairing on a key: (key, n_left, n_right, status matched, left_only or right_only)."""
+    a = left.groupBy(key).agg(F.count("*").alias("n_left"))
+    b = right.groupBy(key).agg(F.count("*").alias("n_right"))
+    status = F.when(F.col("n_left").isNull(), "right_only").when(F.col("n_right").isNull(), "left_only").otherwise("matched")
+    joined = a.join(b, key, "full_outer").withColumn("status", status)
+    return joined.select(key, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"), "status")
+
+
+def reconcile(rows: DataFrame, number: str, witness: str, text_key: str, rank: str) -> DataFrame:
+    """Verdict per number: single, confirmed (one skeleton) or disputed; the best rank of its witnesses.
+
+    ``text_key`` is a skeleton of the text. A number that one witness repeats keeps its last text in
+    order of the skeleton. One witness is never agreement.
+    """
+    one = rows.groupBy(number, witness).agg(F.max(text_key).alias("_text"), F.min(rank).alias("_rank"))
+    out = one.groupBy(number).agg(F.count("*").alias("witnesses"), F.count_distinct("_text").alias("versions"), F.min("_rank").alias("best_rank"))
+    status = F.when(F.col("witnesses") == 1, "single").when(F.col("versions") == 1, "confirmed").otherwise("disputed")
+    return out.withColumn("status", status)
+
+
+def independent_witnesses(rows: DataFrame, key: str, provider: str) -> DataFrame:
+    """Editions and distinct providers per key: copies from one provider are one witness."""
+    return rows.groupBy(key).agg(F.count("*").alias("editions"), F.count_distinct(provider).alias("witnesses"))
+
+
+def running_heads(lines: DataFrame, doc: str, key: str, least: int = 2) -> DataFrame:
+    """(doc, key, times): line keys that a document repeats, to be dropped as running heads."""
+    return lines.groupBy(doc, key).agg(F.count("*").alias("times")).where(F.col("times") >= least)

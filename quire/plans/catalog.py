@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import hebrew, register, text
 from quire.functions.tokens import padded_skeleton
-from quire.operators import witness
+from quire.operators import graph, witness
 from quire.plans.registry import Registry, table
+from quire.streaming import limits
 
 REGISTRY = Registry()
 
@@ -26,3 +28,306 @@ def verify_benchmark(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", padded_skeleton(F.col("text")).alias("needle"))
     hits = witness.contains_run(docs, items, "hay", "needle", width=8)
     return hits.groupBy("doc_id").agg(F.min("item_id").alias("first_item"), F.count("*").alias("n_items"))
+
+
+GOLDEN = [
+    (1, "שָׁלוֹם"),
+    (2, "הַמֶּלֶךְ"),
+    (3, "כָּל־הָאָרֶץ"),
+    (4, "בְּרֵאשִׁ֖ית בָּרָ֣א׃"),
+    (5, "The word שלום means peace."),
+    (6, ""),
+    (7, "ייִדיש צ׳"),
+]
+_GOLDEN_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in GOLDEN) + ") AS g(id, t)"
+_L, _P = "א-תװ-ײ", "֑-ׇֽֿׁׂ͏׳״"
+
+
+@REGISTRY.add(
+    "hebrew_strings",
+    f"""
+    SELECT CAST(id AS INTEGER) AS id,
+           translate(regexp_replace(t, '[^{_L}]', '', 'g'), 'ךםןףץ', 'כמנפצ') AS skeleton,
+           regexp_replace(t, '[֑-֯]', '', 'g') AS without_accents,
+           regexp_replace(t, '[ְ-ׇֻ]', '', 'g') AS without_vowels,
+           regexp_replace(t, '[{_P}]', '', 'g') AS without_points,
+           regexp_replace(regexp_replace(t, '[֑-֯]', '', 'g'), '[׀׃׆׳״]', '', 'g') AS spoken,
+           CASE WHEN regexp_matches(t, '[֑-֯]') THEN 'accented' WHEN regexp_matches(t, '[ְ-ׇֻ]') THEN 'pointed' ELSE 'bare' END AS vocalization,
+           regexp_matches(t, '[{_L}]') AS has_hebrew,
+           len(regexp_extract_all(t, '[{_L}][{_P}]*')) AS n_clusters
+    FROM {_GOLDEN_SQL}
+    """,
+)
+def hebrew_strings(spark, sf_dir):
+    """String functions on pointed Hebrew over authored words."""
+    t = F.col("t")
+    return spark.createDataFrame(GOLDEN, "id int, t string").select(
+        "id", hebrew.skeleton(t).alias("skeleton"), hebrew.strip_accents(t).alias("without_accents"), hebrew.strip_vowels(t).alias("without_vowels"),
+        hebrew.strip_points(t).alias("without_points"), hebrew.for_speech(t).alias("spoken"), hebrew.vocalization(t).alias("vocalization"),
+        hebrew.has_hebrew(t).alias("has_hebrew"), F.size(hebrew.clusters(t)).cast("long").alias("n_clusters"),
+    )
+
+
+@REGISTRY.add("hebrew_runs")
+def hebrew_runs(spark, sf_dir):
+    """Runs of Hebrew and other text, in order."""
+    rows = spark.createDataFrame(GOLDEN, "id int, t string").select("id", F.posexplode(hebrew.runs(F.col("t"))).alias("position", "run"))
+    return rows.select("id", "position", "run.*")
+
+
+@REGISTRY.add(
+    "html_clean",
+    r"""
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+             regexp_replace(regexp_replace(html, '(?s)<i class="footnote">.*?</i>', '', 'g'), '<[^>]*>', ' ', 'g'),
+             '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS clean
+    FROM pages
+    """,
+)
+def html_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_html(F.col("html")).alias("clean"))
+
+
+@REGISTRY.add(
+    "independent_witnesses",
+    r"""
+    WITH p AS (SELECT page_id % 10 AS work, CASE WHEN coalesce(url, '') = '' THEN '(none stated)'
+               WHEN regexp_extract(url, '^https?://([^/]+)', 1) <> '' THEN regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^www\.', '') ELSE url END AS provider FROM pages)
+    SELECT work, count(*) AS editions, count(DISTINCT provider) AS witnesses FROM p GROUP BY work
+    """,
+)
+def independent_witnesses(spark, sf_dir):
+    """Editions of a work against the distinct hosts they come from."""
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("work"), text.provider(F.col("url")).alias("provider"))
+    return witness.independent_witnesses(pages, "work", "provider")
+
+
+@REGISTRY.add(
+    "chain_documents",
+    r"""
+    WITH f AS (SELECT lang AS category, coalesce(nullif(source, ''), '(unnamed)') AS work, CAST(doc_id AS VARCHAR) AS ref, min(doc_id) AS ord FROM documents GROUP BY ALL)
+    SELECT coalesce(nullif(category, ''), '(uncategorized)') AS category, work,
+           CAST(CASE category WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS BIGINT) AS rank,
+           count(*) AS n_refs, string_agg(ref, ',' ORDER BY ord) AS refs
+    FROM f GROUP BY category, work
+    """,
+)
+def chain_documents(spark, sf_dir):
+    """Links grouped by category in a stated order, then by work, refs in first-seen order."""
+    docs = table(spark, sf_dir, "documents")
+    work = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("(unnamed)"))
+    links = docs.select(F.col("lang").alias("category"), work.alias("work"), F.col("doc_id").cast("string").alias("ref"), F.col("doc_id").alias("ord"))
+    out = graph.chain(links, ["en", "de", "fr"])
+    return out.select("category", "work", F.col("rank").cast("long").alias("rank"), F.size("refs").cast("long").alias("n_refs"), F.array_join("refs", ",").alias("refs"))
+
+
+@REGISTRY.add(
+    "anchor_census",
+    """
+    SELECT conv_id, count(DISTINCT turn) AS chapters, count(*) FILTER (length(text) > 0) AS populated, CAST(sum(length(text)) AS BIGINT) AS total
+    FROM conversations GROUP BY conv_id
+    """,
+)
+def anchor_census(spark, sf_dir):
+    cells = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return graph.census(cells, "conv_id", "turn", "size")
+
+
+@REGISTRY.add(
+    "reading_joined",
+    """
+    SELECT conv_id, string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY turn) FILTER (trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') AS joined,
+           min_by(text, turn) FILTER (role = 'user') AS first_user
+    FROM conversations GROUP BY conv_id
+    """,
+)
+def reading_joined(spark, sf_dir):
+    """Segments of a reading joined by one space, empty ones skipped; the first segment of a side."""
+    rows = table(spark, sf_dir, "conversations").withColumn("clean", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("clean") != "", F.struct("turn", "clean")))), lambda x: x["clean"])
+    first = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
+    return rows.groupBy("conv_id").agg(F.array_join(parts, " ").alias("joined"), first.alias("first_user"))
+
+
+@REGISTRY.add(
+    "align_nations",
+    """
+    WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1),
+         b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right,
+           CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'matched' END AS status
+    FROM a FULL JOIN b ON a.k = b.k
+    """,
+)
+def align_nations(spark, sf_dir):
+    """Two sides paired on a key, never on position; what has no partner is reported."""
+    left = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("nation"))
+    right = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
+    return witness.align(left, right, "nation")
+
+
+@REGISTRY.add(
+    "reconcile_turns",
+    r"""
+    WITH one AS (SELECT turn, conv_id, max(trim(regexp_replace(lower(substr(text, 1, 12)), '\s+', ' ', 'g'))) AS k,
+                        min(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) AS r FROM conversations GROUP BY 1, 2)
+    SELECT turn, count(*) AS witnesses, count(DISTINCT k) AS versions, CAST(min(r) AS BIGINT) AS best_rank,
+           CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT k) = 1 THEN 'confirmed' ELSE 'disputed' END AS status
+    FROM one GROUP BY turn
+    """,
+)
+def reconcile_turns(spark, sf_dir):
+    """Verdicts per number over witnesses ranked by tier."""
+    rows = table(spark, sf_dir, "conversations").select(
+        "turn", "conv_id", F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 12)), r"\s+", " ")).alias("key"),
+        graph.category_rank(F.col("role"), ["system", "user"]).cast("long").alias("rank"),
+    )
+    return witness.reconcile(rows, "turn", "conv_id", "key", "rank")
+
+
+@REGISTRY.add(
+    "running_heads",
+    r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+         k AS (SELECT doc_id, substr(regexp_replace(lower(line), '[^a-z]', '', 'g'), 1, 18) AS key FROM l WHERE length(trim(line, ' ')) BETWEEN 8 AND 100)
+    SELECT doc_id, key, count(*) AS times FROM k WHERE length(key) >= 8 GROUP BY 1, 2 HAVING count(*) >= 2
+    """,
+)
+def running_heads(spark, sf_dir):
+    """Lines that a document repeats, by their first 18 letters."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.length(F.trim("line")).between(8, 100))
+    keyed = lines.select("doc_id", F.substring(F.regexp_replace(F.lower("line"), "[^a-z]", ""), 1, 18).alias("key")).where(F.length("key") >= 8)
+    return witness.running_heads(keyed, "doc_id", "key")
+
+
+@REGISTRY.add(
+    "text_skeleton_groups",
+    r"""
+    WITH s AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents)
+    SELECT digest, count(*) AS n, min(doc_id) AS first_doc FROM s GROUP BY digest HAVING count(*) > 1
+    """,
+)
+def text_skeleton_groups(spark, sf_dir):
+    """Texts that are equal on their skeleton, by digest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.text_skeleton(F.col("text")), 256).alias("digest"))
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@REGISTRY.add("register_score")
+def register_score(spark, sf_dir):
+    """Register of documents by weighted markers."""
+    a, s = register.scores(F.col("text"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", a.cast("long").alias("ashkenazi"), s.cast("long").alias("sephardi"))
+    a, s = F.col("ashkenazi"), F.col("sephardi")
+    return scored.withColumns({"register": register.register(a, s), "confident": register.confident(a, s), "refused": register.guarded(a, s, "sbl-general")})
+
+
+@REGISTRY.add("related_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
+def related_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+
+
+@REGISTRY.add(
+    "search_overfetch",
+    """
+    SELECT p_partkey, p_name FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30)
+    WHERE p_size <= 25 ORDER BY p_retailprice DESC, p_partkey LIMIT 10
+    """,
+)
+def search_overfetch(spark, sf_dir):
+    """Three times the limit fetched, filtered, then limited: the order of these steps matters."""
+    part = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(30)
+    return part.where("p_size <= 25").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey", "p_name")
+
+
+@REGISTRY.add(
+    "unmatched_orders",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)",
+)
+def unmatched_orders(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@REGISTRY.add(
+    "previews",
+    """
+    SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '… (--full for all)' ELSE text END AS preview,
+           regexp_matches(lower(text), 'public domain|cc0|cc-by|creative commons') AS quotable, lang LIKE 'e%' AS prefix_e
+    FROM documents
+    """,
+)
+def previews(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(t).alias("preview"), text.quotable(t).alias("quotable"), F.col("lang").startswith("e").alias("prefix_e"))
+
+
+@REGISTRY.add(
+    "rate_limit_waits",
+    """
+    SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window,
+           count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) > 2 AS waits
+    FROM events
+    """,
+)
+def rate_limit_waits(spark, sf_dir):
+    """Requests of a user that a sliding window of two a day would make wait."""
+    return limits.would_wait(table(spark, sf_dir, "events"), "user_id", "ts", 2, 86_400).select("event_id", "in_window", "waits")
+
+
+@REGISTRY.add(
+    "cache_ttl_hits",
+    """
+    WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events),
+      f AS (SELECT user_id, event_type, n, t AS written, 0 AS hit FROM e WHERE n = 1
+            UNION ALL
+            SELECT e.user_id, e.event_type, e.n, CASE WHEN e.t - f.written <= 86400000000 THEN f.written ELSE e.t END,
+                   CASE WHEN e.t - f.written <= 86400000000 THEN 1 ELSE 0 END
+            FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1)
+    SELECT user_id, event_type, CAST(sum(hit) AS INTEGER) AS hits, CAST(sum(1 - hit) AS INTEGER) AS misses FROM f GROUP BY 1, 2
+    """,
+)
+def cache_ttl_hits(spark, sf_dir):
+    """Hits of a cache whose entries live a day after they were written; hits do not refresh them."""
+    return limits.cache_hits(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts")
+
+
+@REGISTRY.add(
+    "next_saturday",
+    """
+    SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + CAST((6 - dayofweek(o_orderdate)) % 7 AS INTEGER) AS VARCHAR) AS saturday FROM orders
+    """,
+)
+def next_saturday(spark, sf_dir):
+    """The Saturday on or after a day; a Saturday is its own."""
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.next_day(F.date_sub(day, 1), "SAT").cast("string").alias("saturday"))
+
+
+@REGISTRY.add(
+    "section_numbers",
+    """
+    SELECT * FROM (VALUES (1, '3', 3, ''), (2, '3', 3, ''), (3, '3', 3, ''), (4, '3', 3, ''), (5, '12A', 12, 'A'), (6, '2', 2, ''), (7, 'X', 1000000, 'X')) v(id, number, place, rest)
+    """,
+)
+def section_numbers(spark, sf_dir):
+    """Spellings of section numbers on one form, with their numeric order."""
+    rows = [(1, "§ 3"), (2, "Section 3."), (3, "סעיף 03"), (4, "sec. 3"), (5, "12a"), (6, " 2. "), (7, "x")]
+    out = spark.createDataFrame(rows, "id int, raw string").select("id", text.section_number(F.col("raw")).alias("number"))
+    place, rest = text.section_order(F.col("number"))
+    return out.select("id", "number", place.alias("place"), rest.alias("rest"))
+
+
+@REGISTRY.add(
+    "statute_text",
+    r"""
+    SELECT * FROM (VALUES (1, 'The regulation holds.', 'The regulation holds.'), (2, E'One two' || chr(10) || chr(10) || 'three', E'One two' || chr(10) || chr(10) || 'three'),
+                          (3, 'Non- A', 'Non- A')) v(id, tidied, joined)
+    """.replace("E'", "'"),
+)
+def statute_text(spark, sf_dir):
+    """Soft hyphens rejoined and line wraps collapsed, paragraphs kept."""
+    rows = [(1, "The regu-\nlation\nholds."), (2, "One\ntwo\n\nthree"), (3, "Non-\nA")]
+    t = spark.createDataFrame(rows, "id int, t string").select("id", text.tidy(text.dehyphenate(F.col("t"))).alias("tidied"))
+    return t.withColumn("joined", F.col("tidied"))
