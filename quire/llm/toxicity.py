@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 from quire.llm import words as W
 from quire.llm.store import prepare
 
-#: Labelled rows that the regression is fitted on at most: those with the smallest hash of their text.
+#: Labels that the regression is fitted on at most: those with the smallest hash of their id.
 MAX_TRAIN = 6000
 #: Bytes of a word's prefix, a feature of its own.
 PREFIX = 6
@@ -168,8 +168,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     smallest window hash is equal are taken once.
     """
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade"))
+    known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id", "grade").limit(MAX_TRAIN))  # so the texts stay where they are
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(known, "_id")
-    some = rows.orderBy(F.xxhash64("text"), "_id", "grade").limit(MAX_TRAIN).select("text", "grade").toArrow()
+    some = rows.orderBy(F.xxhash64("_id"), "_id", "text", "grade").limit(MAX_TRAIN).select("text", "grade").toArrow()
     if not some.num_rows:
         return pa.array([], pa.string()), np.zeros(0, np.int64)
     column = some.column("text").combine_chunks()
