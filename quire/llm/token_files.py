@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +26,23 @@ PART_BYTES = 16 << 20
 MEMORY = 600_000
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
-# white space but spaces and line breaks, and the mark for stops; stops not after a letter or digit
-_RARE = re.compile("[\t\r\x02\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_RUN = re.compile(r"[\W_][.,](?:[ \n]|\Z)")
+# RE2: empty texts, edges and runs of white space, white space but spaces and line breaks, the marks for stops and heads, stops not after a letter or digit
+_OTHER = (
+    r"^(?:[ \n.,]|\z)|[ \n]\z|  |\n\n| \n|\n |[\t\r\x02-\x04\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[^\p{L}\p{N}][.,](?:[ \n]|\z)"
+)
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _simple(text: str) -> bool:
+def _simple(texts: list[str]) -> list[bool]:
     """Whether single spaces and line breaks between words, and stops after words, are all there is to cut at."""
-    if not text or text[0] in " \n.," or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return False
-    return not _RARE.search(text) and not _RUN.search(text)
+    return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), _OTHER)).to_pylist()
+
+
+def _marked(text: str) -> str:
+    """A simple text as pieces between spaces: stops are followed by x02, the head of a line preceded by x03, that of the text by x04."""
+    text = (text + "\n").replace(". ", " .\x02 ").replace(", ", " ,\x02 ").replace(".\n", " .\x02\n").replace(",\n", " ,\x02\n")[:-1]
+    return "\x04" + text.replace("\n", " \x03")
 
 
 class Encoder:
@@ -58,18 +65,17 @@ class Encoder:
         self.spaced = np.zeros(1 << self.levels, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
         self.marks = {mark + "\x02": self._plain(mark) for mark in ".,"}
         self.line = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces that follow a space; many pieces are encoded in one text and told apart by their spaces."""
         for i in range(0, len(pieces), 500):
             some = pieces[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) != len(some) or starts[0] != 0:
                 self.known.update((p, self._plain(" " + p)) for p in some)
@@ -82,32 +88,50 @@ class Encoder:
         """Little-endian ids of each text."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        if len(self.heads) > MEMORY // 4:
-            self.heads.clear()
         self.known.update(self.marks)
-        cut, new = [], set()
-        for text in texts:
-            if _simple(text):
-                text = (text + "\n").replace(". ", " .\x02 ").replace(", ", " ,\x02 ").replace(".\n", " .\x02\n").replace(",\n", " ,\x02\n")[:-1]
-                lines = [(line[0], line[1:]) for line in (x.split(" ") for x in text.split("\n"))]
-            elif "\x02" in text:
-                lines = [(text, [])]
-            else:
-                head, *rest = _CUT.split(text)
-                lines = [(head, [p[1:] for p in rest])]
-            for _, rest in lines:
-                new.update(set(rest).difference(self.known))
-            cut.append(lines)
-        if new:
-            self._learn(list(new))
-        get, head_of = self.known.__getitem__, self._head
-        return [self.line.join([head_of(head) + b"".join(map(get, rest)) for head, rest in lines]) for lines in cut]
-
-    def _head(self, piece: str) -> bytes:
-        """Ids of a piece at the start of a line or text."""
-        if piece not in self.heads:
-            self.heads[piece] = self._plain(piece) if piece else b""
-        return self.heads[piece]
+        simple = [i for i, yes in enumerate(_simple(texts)) if yes]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(simple, self._gather([_marked(texts[i]) for i in simple]), strict=True):
+            out[i] = ids
+        for i in sorted(set(range(len(texts))).difference(simple)):
+            out[i] = self._by_piece(texts[i])
+        return out
+
+    def _gather(self, texts: list[str]) -> list[bytes]:
+        """Ids of marked texts: each distinct piece is looked up once and its ids copied to where it stands."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces = lists.values.dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        self._know([p for p in distinct if p not in self.known])
+        blobs = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(blobs), self.kind)
+        offsets, index = lists.offsets.to_numpy(), pieces.indices.to_numpy()
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            here = index[a:b]
+            n = sizes[here]
+            ends = np.cumsum(n)
+            out.append(flat[np.arange(int(ends[-1])) + np.repeat(begins[here] - ends + n, n)].tobytes())
+        return out
+
+    def _know(self, pieces: list[str]) -> None:
+        for piece in pieces:
+            if piece[0] in "\x03\x04":
+                self.known[piece] = (self.line if piece[0] == "\x03" else b"") + self._plain(piece[1:])
+        self._learn([p for p in pieces if p[0] not in "\x03\x04"])
+
+    def _by_piece(self, text: str) -> bytes:
+        """Ids of any other text, cut at single spaces alone."""
+        if any(mark in text for mark in "\x02\x03\x04"):
+            return self._plain(text)
+        head, *rest = _CUT.split(text)
+        rest = [p[1:] for p in rest]
+        self._learn(list(set(rest).difference(self.known)))
+        return (self._plain(head) if head else b"") + b"".join(map(self.known.__getitem__, rest))
 
 
 def _payload(levels: int, docs: list, blobs: list[bytes], kind: np.dtype) -> tuple[bytes, int]:
