@@ -22,8 +22,8 @@ from quire.llm.wavelet import WaveletMatrix, build
 SHARD_TOKENS = 4_000_000
 #: Bytes of text per partition that is encoded by one task.
 PART_BYTES = 16 << 20
-#: Pieces whose ids a worker remembers at most.
-MEMORY = 600_000
+#: Pieces after which a worker starts a new memory of their ids; the one before is kept beside it.
+MEMORY = 350_000
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 # RE2: empty texts, edges and runs of white space, white space but spaces and line breaks, the marks for stops and heads, stops not after a letter or digit
@@ -65,6 +65,7 @@ class Encoder:
         self.spaced = np.zeros(1 << self.levels, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.marks = {mark + "\x02": self._plain(mark) for mark in ".,"}
         self.line = self._plain("\n")
 
@@ -87,7 +88,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         self.known.update(self.marks)
         simple = [i for i, yes in enumerate(_simple(texts)) if yes]
         out: list[bytes] = [b""] * len(texts)
@@ -104,8 +105,11 @@ class Encoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         pieces = lists.values.dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        self._know([p for p in distinct if p not in self.known])
-        blobs = list(map(self.known.__getitem__, distinct))
+        blobs = list(map(self.known.get, distinct))
+        missing = [i for i, b in enumerate(blobs) if b is None]
+        self._know([distinct[i] for i in missing])
+        for i in missing:
+            blobs[i] = self.known[distinct[i]]
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
         begins = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(blobs), self.kind)
@@ -119,6 +123,10 @@ class Encoder:
         return out
 
     def _know(self, pieces: list[str]) -> None:
+        """Learns pieces that are in neither memory, and takes over those in the older one."""
+        old = {p: ids for p in pieces if (ids := self.before.get(p)) is not None}
+        self.known.update(old)
+        pieces = [p for p in pieces if p not in old] if old else pieces
         for piece in pieces:
             if piece[0] in "\x03\x04":
                 self.known[piece] = (self.line if piece[0] == "\x03" else b"") + self._plain(piece[1:])

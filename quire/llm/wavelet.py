@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
@@ -23,21 +24,27 @@ def build(ids: np.ndarray, levels: int) -> bytes:
     """
     if len(ids) and int(ids.max()) >> levels:
         raise ValueError("an id is too large for the number of levels")
-    x = np.ascontiguousarray(ids, np.uint16 if levels <= 16 else np.uint32)
+    x = np.array(ids, np.uint16 if levels <= 16 else np.uint32)
+    y = np.empty_like(x)
     press = zstandard.ZstdCompressor(level=1)
     planes = []
     for level in range(levels):
-        bit = ((x >> x.dtype.type(levels - 1 - level)) & x.dtype.type(1)).astype(bool)
-        ones = np.flatnonzero(bit)
-        zeros = np.flatnonzero(~bit)
-        packed = np.packbits(bit, bitorder="little")
-        size = BLOCK_BITS // 8
-        blocks = [press.compress(packed[i : i + size].tobytes()) for i in range(0, len(packed), size)]
-        starts = np.arange(0, len(x), BLOCK_BITS)
-        before = np.searchsorted(ones, starts).astype("<u8")
+        mask = x.dtype.type(1 << (levels - 1 - level))
+        blocks, before, n_ones = [], [], 0
+        ones = np.empty_like(x)
+        for i in range(0, len(x), BLOCK_BITS):  # what is parted at a time stays in the processor's cache
+            part = x[i : i + BLOCK_BITS]
+            bit = (part & mask) != 0
+            blocks.append(press.compress(np.packbits(bit, bitorder="little")))
+            before.append(n_ones)
+            one, zero = np.flatnonzero(bit), np.flatnonzero(~bit)
+            ones[n_ones : n_ones + len(one)] = part[one]
+            y[i - n_ones : i - n_ones + len(zero)] = part[zero]
+            n_ones += len(one)
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
-        planes.append(struct.pack("<QQ", len(zeros), len(blocks)) + before.tobytes() + offsets.tobytes() + b"".join(blocks))
-        x = np.concatenate([x[zeros], x[ones]])
+        planes.append(struct.pack("<QQ", len(x) - n_ones, len(blocks)) + np.array(before, "<u8").tobytes() + offsets.tobytes() + b"".join(blocks))
+        y[len(x) - n_ones :] = ones[:n_ones]
+        x, y = y, x
     return _HEAD.pack(MAGIC, levels, len(ids)) + struct.pack(f"<{levels}Q", *map(len, planes)) + b"".join(planes)
 
 
@@ -60,9 +67,11 @@ class _Plane:
                 self.cache.popitem(last=False)
         return self.cache[k]
 
-    def bits(self) -> np.ndarray:
-        raw = b"".join(self._raw(k) for k in range(len(self.before)))
-        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(ones before it, its bits) of each block."""
+        for k, seen in enumerate(self.before.tolist()):
+            raw = np.frombuffer(self._raw(k), np.uint8)
+            yield seen, np.unpackbits(raw, count=min(BLOCK_BITS, self.n - k * BLOCK_BITS), bitorder="little").view(bool)
 
     def bit(self, i: int) -> int:
         k, j = divmod(i, BLOCK_BITS)
@@ -145,12 +154,14 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All ids."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
-        y = np.zeros(self.n, kind)
+        y, x = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            p = self.planes[level]
-            bits = p.bits()
-            x = np.empty_like(y)
-            x[np.flatnonzero(~bits)] = y[: p.zeros]
-            x[np.flatnonzero(bits)] = y[p.zeros :] | kind(1 << (self.levels - 1 - level))
-            y = x
+            p, at = self.planes[level], 0
+            for seen, bits in p.parts():
+                one, zero = np.flatnonzero(bits), np.flatnonzero(~bits)
+                part = x[at : at + len(bits)]
+                part[zero] = y[at - seen : at - seen + len(zero)]
+                part[one] = y[p.zeros + seen : p.zeros + seen + len(one)] | kind(1 << (self.levels - 1 - level))
+                at += len(bits)
+            x, y = y, x
         return y
