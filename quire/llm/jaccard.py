@@ -259,7 +259,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         if level < LEVELS:
             rows = large.select("path", "node", "used", "signature").mapInArrow(_children(threshold), PATHS)
     salted = large.select("path", "node", "signature", "members").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(4 * TILE))))
-    lead = written(salted.select("path", "salt", "node", "signature").repartition("path", "salt").sortWithinPartitions("path", "salt").mapInArrow(_lead(agree), LEADERS), "leaders")
+    lead = written(salted.select("path", "salt", "node", "signature").repartition("path", "salt").sortWithinPartitions("path", "salt", "node").mapInArrow(_lead(agree), LEADERS), "leaders")
     heads = lead.where("b is null").select("path", F.col("a").alias("node"), "signature")
     far = 1 - (2 * (1 - agree / SIGNATURE) + 1 - threshold)
     loose = max(1, int(SIGNATURE * far - 2 * math.sqrt(SIGNATURE) / 2))

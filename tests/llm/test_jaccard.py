@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from quire.llm import jaccard
+from quire.llm.components import components
 
 
 def brute(rows):
@@ -60,3 +63,27 @@ def test_leaders_keep_links(spark, monkeypatch):
     assert got == brute(rows)
     assert jaccard.jaccard_join(df.limit(0)).count() == 0
     assert jaccard.near_dedup(df).count() == len({c for _, c, _ in got})
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [],
+        [(5, 5)],
+        [(i, i + 1) for i in range(40)],
+        [(99, i) for i in range(30)] + [(3, 200), (200, 150), (150, 3)],
+        [(random.Random(i).randrange(300), random.Random(i + 1000).randrange(300)) for i in range(170)] * 2,
+    ],
+)
+def test_components_equal_a_union_of_sets(spark, edges):
+    parent = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def root(n):
+        return n if parent[n] == n else root(parent[n])
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((n, root(n)) for n in parent)
