@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import hebrew, register, text
+from quire.functions import hebrew, register, romanizer, text
 from quire.functions.tokens import padded_skeleton
 from quire.operators import graph, witness
 from quire.plans.registry import Registry, table
@@ -331,3 +331,40 @@ def statute_text(spark, sf_dir):
     rows = [(1, "The regu-\nlation\nholds."), (2, "One\ntwo\n\nthree"), (3, "Non-\nA")]
     t = spark.createDataFrame(rows, "id int, t string").select("id", text.tidy(text.dehyphenate(F.col("t"))).alias("tidied"))
     return t.withColumn("joined", F.col("tidied"))
+
+
+ROMANIZED = [
+    (1, "sbl-general", "הַמֶּלֶךְ", "ha-melekh", ""),
+    (2, "bgn-pcgn", "הַמֶּלֶךְ", "haMmelekh", ""),
+    (3, "sbl-academic", "תּוֹרָה", "tôrâ", ""),
+    (4, "ala-lc", "תּוֹרָה", "torah", ""),
+    (5, "encyclopaedia-judaica-general", "תּוֹרָה", "torah", ""),
+    (6, "sbl-general", "כָּל־הָאָרֶץ", "kol-ha-’arets", ""),
+    (7, "sbl-general", "The word שָׁלוֹם means peace.", "The word shalom means peace.", ""),
+    (8, "sbl-general", "שָׁרְצוּ", "sharetsu", "qamats-may-be-short,sheva-after-qamats"),
+    (9, "sbl-general", "וַיְדַבֵּר", "vaydabber", ""),
+    (10, "sbl-general", "", "", ""),
+]
+
+
+@REGISTRY.add(
+    "romanize_schemes",
+    "SELECT CAST(id AS INTEGER) AS id, scheme, latin, flags FROM (VALUES "
+    + ", ".join(f"({i}, '{s}', '{latin}', '{flags}')" for i, s, _, latin, flags in ROMANIZED)
+    + ") AS g(id, scheme, latin, flags)",
+)
+def romanize_schemes(spark, sf_dir):
+    """Authored words under the schemes that state a value for them, with the flags raised."""
+    out = None
+    for scheme in sorted({row[1] for row in ROMANIZED}):
+        rows = spark.createDataFrame([(i, t) for i, s, t, *_ in ROMANIZED if s == scheme], "id int, t string").withColumn("r", romanizer.romanize(F.col("t"), scheme))
+        rows = rows.select("id", F.lit(scheme).alias("scheme"), F.col("r.text").alias("latin"), F.array_join("r.flags", ",").alias("flags"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@REGISTRY.add("romanize_documents", "SELECT doc_id, text AS latin, CAST(0 AS BIGINT) AS n_flags FROM documents")
+def romanize_documents(spark, sf_dir):
+    """Whole texts without Hebrew pass through unchanged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", romanizer.romanize(F.col("text")).alias("r"))
+    return docs.select("doc_id", F.col("r.text").alias("latin"), F.coalesce(F.size("r.flags"), F.lit(0)).cast("long").alias("n_flags"))
