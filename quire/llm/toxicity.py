@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,10 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 from quire.llm import words as W
 from quire.llm.store import prepare
 
-#: Labels that the regression is fitted on at most: those with the smallest hash of their id.
+#: Labels that the regression is fitted on at most: of each grade those with the smallest hash of their id.
 MAX_TRAIN = 6000
 #: Bytes of a word's prefix, a feature of its own.
 PREFIX = 6
-#: Labelled rows in which a word must occur to have a weight.
-MIN_ROWS = 8
-#: Least likelihood-ratio statistic of a word against the lowest grade; words below have no weight.
-MIN_EVIDENCE = 25.0
 
 # bytes of words in lower case (ASCII and Latin-1 letters), punctuation taken as white space
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -112,28 +109,41 @@ def _evidence(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     return 2 * (part(a, n * rate) + part(b, m * rate) + part(n - a, n * (1 - rate)) + part(m - b, m * (1 - rate)))
 
 
-def fit_ordinal(f: Features, grades: np.ndarray, l2: float = 0.02, steps: int = 600) -> OrdinalModel:
+def _trust(f: Features, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(statistic, trust) of every word: its evidence against that of the best of as many chance words.
+
+    Trust lies between 0 and 1, is above 0 for every word whose rates differ, and needs no absolute
+    count: chance words of a vocabulary of V reach a statistic of some 2 log V.
+    """
+    n, m = int(toxic.sum()), int((~toxic).sum())
+    if not n or not m or not len(f.vocabulary):
+        return np.zeros(len(f.vocabulary)), np.zeros(len(f.vocabulary))
+    evidence = np.maximum(_evidence(f.counts(toxic), f.counts(~toxic), n, m), 0.0)
+    return evidence, evidence / (evidence + 2 * np.log(len(f.vocabulary) + 1))
+
+
+def fit_ordinal(f: Features, grades: np.ndarray, l2: float = 0.02, steps: int = 600, shares: np.ndarray | None = None) -> OrdinalModel:
     """Fits shared weights and ordered cuts by Adam on the penalised likelihood.
 
     Cuts are the first one plus positive gaps, so they stay in order. ``grades`` are 0..K-1 with K at
-    least 2. Words have a weight if they occur in ``MIN_ROWS`` rows and their rates in the lowest
-    grade and above differ by ``MIN_EVIDENCE``; with one grade, none has. Without rows
-    everything is taken for grade 0.
+    least 2. Every word of the rows has a weight under the L2 penalty, the stronger the less the word's
+    rates in the lowest grade and above differ (``l2`` over the square of its trust); with one grade,
+    none has. ``shares``: how many labels each row stands for, 1 by default. Without rows everything
+    is taken for grade 0.
     """
     top = max(1, int(grades.max())) if len(grades) else 1
     toxic = grades > 0
-    a, b = f.counts(toxic), f.counts(~toxic)
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    if n_toxic and n_clean:
-        used = np.flatnonzero((a + b >= MIN_ROWS) & (_evidence(a, b, n_toxic, n_clean) >= MIN_EVIDENCE))
-    else:
-        used = np.zeros(0, np.int64)
+    trust = _trust(f, toxic)[1]
+    used = np.flatnonzero(trust > 0)
     slot = np.full(len(f.vocabulary), -1)
     slot[used] = np.arange(len(used))
     keep = slot[f.slot] >= 0
     col, row = slot[f.slot[keep]], f.row[keep]
+    scale, size = trust[used], trust[used][col]
+    shares = np.ones(len(grades)) if shares is None else shares * (len(grades) / max(1e-12, shares.sum()))
     n = max(1, len(grades))
-    share = [(np.sum(grades <= k) + 0.5) / (n + 1) for k in range(top)]
+    share = [(shares[grades <= k].sum() + 0.5) / (n + 1) for k in range(top)]
     first = np.log(share[0] / (1 - share[0]))
     gaps = [np.log(max(1e-3, np.log(b / (1 - b)) - np.log(a / (1 - a)))) for a, b in zip(share, share[1:], strict=False)]
     theta = np.concatenate([np.zeros(len(used)), [first], gaps])
@@ -146,33 +156,48 @@ def fit_ordinal(f: Features, grades: np.ndarray, l2: float = 0.02, steps: int =
     for step in range(1, steps + 1):
         w, cut0, logs = theta[: len(used)], theta[len(used)], theta[len(used) + 1 :]
         cuts = np.concatenate([[cut0], cut0 + np.cumsum(np.exp(logs))])
-        score = np.bincount(row, w[col], minlength=len(grades))
+        score = np.bincount(row, w[col] * size, minlength=len(grades))
         edges = np.concatenate([[-np.inf], cuts, [np.inf]])
         hi, lo = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
         p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        gw = np.bincount(col, (dhi - dlo)[row], minlength=len(used)) + l2 * w
+        dhi, dlo = shares * hi * (1 - hi) / p, shares * lo * (1 - lo) / p
+        gw = np.bincount(col, (dhi - dlo)[row] * size, minlength=len(used)) + l2 * w
         gc = np.array([-(dhi[grades == k].sum()) + dlo[grades == k + 1].sum() for k in range(top)])
         tail = np.cumsum(gc[::-1])[::-1]
         grad = np.concatenate([gw, [gc.sum()], tail[1:] * np.exp(logs)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - 0.1 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     cut0, logs = theta[len(used)], theta[len(used) + 1 :]
-    return OrdinalModel(vocabulary, theta[: len(used)], np.concatenate([[cut0], cut0 + np.cumsum(np.exp(logs))]))
+    return OrdinalModel(vocabulary, theta[: len(used)] * scale, np.concatenate([[cut0], cut0 + np.cumsum(np.exp(logs))]))
+
+
+def _quotas(counts: dict[int, int], most: int) -> dict[int, int]:
+    """Rows to take of each grade: equal parts of ``most``, what a rare grade leaves goes to the others."""
+    out, left = {}, most
+    for i, (grade, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[grade] = min(n, left // (len(counts) - i))
+        left -= out[grade]
+    return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str) -> tuple[pa.Array, np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """At most ``MAX_TRAIN`` labelled texts with grades, one of each group with the same rarest word windows.
 
-    Near copies of one labelled text would make its accidental words look like evidence; texts whose
-    smallest window hash is equal are taken once.
+    The labels are drawn by grade, so that rare grades stay whole; the third result says how many
+    labels each row stands for. Near copies of one labelled text would make its accidental words look
+    like evidence; texts whose smallest window hash is equal are taken once.
     """
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade"))
-    known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id", "grade").limit(MAX_TRAIN))  # so the texts stay where they are
+    counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}  # one row per grade
+    if not counts:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0)
+    quotas = _quotas(counts, MAX_TRAIN)
+    parts = [known.where(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(n) for g, n in quotas.items()]
+    known = F.broadcast(reduce(DataFrame.unionByName, parts))  # so the texts stay where they are
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(known, "_id")
     some = rows.orderBy(F.xxhash64("_id"), "_id", "text", "grade").limit(MAX_TRAIN).select("text", "grade").toArrow()
     if not some.num_rows:
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0)
     column = some.column("text").combine_chunks()
     words = W.Words(*W.text_buffer(column))
     hashes = words.hashes()
@@ -184,21 +209,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         if key not in seen:
             seen.add(key)
             keep.append(i)
-    return column.take(pa.array(keep)), some.column("grade").to_numpy()[keep].astype(np.int64)
+    grades = some.column("grade").to_numpy()[keep].astype(np.int64)
+    return column.take(pa.array(keep)), grades, np.array([counts[g] / quotas[g] for g in grades.tolist()])
 
 
 def severity_grades(f: Features, toxic: np.ndarray) -> np.ndarray:
     """Grades 0 (not toxic), 1 and 2 (toxic, by how many telling words a text has).
 
-    Telling words occur in ``MIN_ROWS`` toxic texts at least, and at least ten times as often, as a
-    rate, in toxic texts as in others. Toxic texts with more of them than the median of those that
-    have any are grade 2.
+    A word that occurs more often, as a rate, in toxic texts than in others tells as much as it can be
+    trusted not to stand there by chance, from 0 to 1. Toxic texts that hold more than the median of
+    those that hold any are grade 2.
     """
     hot = toxic > 0
     a, b = f.counts(hot), f.counts(~hot)
-    rate = ((a + 0.5) / (hot.sum() + 1)) / ((b + 0.5) / ((~hot).sum() + 1))
-    telling = (a >= MIN_ROWS) & (rate >= 10)
-    found = np.bincount(f.row, telling[f.slot].astype(float), minlength=f.n_rows)
+    more = a * max(1, int((~hot).sum())) > b * max(1, int(hot.sum()))
+    chance = len(f.vocabulary) * np.exp(-0.5 * _trust(f, hot)[0])
+    found = np.bincount(f.row, (more / (1 + chance))[f.slot], minlength=f.n_rows)
     some = found[hot & (found > 0)]
     return np.where(hot, 1 + (found > (np.median(some) if len(some) else 0)), 0).astype(np.int64)
 
@@ -229,6 +255,6 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", graded: bool = False) -> OrdinalModel:
     """The model fitted on labelled rows; binary labels are first spread over three grades, unless ``graded``."""
-    texts, marks = training_rows(docs, labels, id_col, text_col, label_col)
+    texts, marks, shares = training_rows(docs, labels, id_col, text_col, label_col)
     f = features(texts)
-    return fit_ordinal(f, marks if graded else severity_grades(f, marks))
+    return fit_ordinal(f, marks if graded else severity_grades(f, marks), shares=shares)
