@@ -118,9 +118,9 @@ class Benchmark:
         self.filter[(self.hashes >> W.U64(42)).astype(np.int64)] = True
 
 
-def _matches(t: Templates, b: Benchmark, least: float, run: int) -> Iterator[tuple[int, int, int, int, int]]:
+def _matches(t: Templates, b: Benchmark, least: float, run: int, literal: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, covered words, words of the item, changed slots) of every item that a text holds."""
-    at, entry = [], []
+    at, entry, bare = [], [], []
     for w in b.widths:
         starts = W.window_starts(t.offsets, w)
         if not len(starts):
@@ -128,30 +128,28 @@ def _matches(t: Templates, b: Benchmark, least: float, run: int) -> Iterator[tup
         slots = np.concatenate([[0], np.cumsum(t.slot > 0)])
         form = starts[slots[starts + w] > slots[starts]]  # windows without slots are the same either way
         found = np.concatenate([W.window_hashes(t.literal, w)[starts], W.window_hashes(t.token, w)[form]]) ^ W.U64(w)
-        starts = np.concatenate([starts, form])
+        n_bare, starts = len(starts), np.concatenate([starts, form])
         maybe = np.flatnonzero(b.filter[(found >> W.U64(42)).astype(np.int64)])
         lo = np.searchsorted(b.hashes, found[maybe], "left")
         n = np.searchsorted(b.hashes, found[maybe], "right") - lo
         at.append(np.repeat(starts[maybe], n))
+        bare.append(np.repeat(maybe < n_bare, n))
         entry.append(np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(int(n.sum())))
     if not at or not sum(map(len, at)):
         return
-    at, there = np.concatenate(at), b.starts[np.concatenate(entry)]
+    at, there, bare = np.concatenate(at), b.starts[np.concatenate(entry)], np.concatenate(bare)
     item, row = b.item[there], t.row[at]
     shift = at - there
     order = np.lexsort((at, shift, item, row))
-    at, there, item, row, shift = at[order], there[order], item[order], row[order], shift[order]
+    at, there, item, row, shift, bare = at[order], there[order], item[order], row[order], shift[order], bare[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])])
     first = np.append(np.flatnonzero(new), len(at))
     for a, z in zip(first, first[1:], strict=False):
         length = int(b.lengths[item[a]])
         width = min(b.width, length)
-        mark = np.zeros(length + 1, np.int64)
         rel = there[a:z] - b.base[item[a]]
-        np.add.at(mark, rel, 1)
-        np.add.at(mark, rel + width, -1)
-        covered = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        if len(covered) < least * length and not (len(covered) >= run and _longest(covered) >= run):
+        covered = _covered(rel, width, length)
+        if not _enough(covered, length, least, run):
             continue
         mine, theirs = covered + b.base[item[a]], covered + b.base[item[a]] + shift[a]
         slots = b.slot[mine] > 0
@@ -159,10 +157,25 @@ def _matches(t: Templates, b: Benchmark, least: float, run: int) -> Iterator[tup
         if len(x):  # a value of the item must always stand for one value of the text, and the other way round
             pairs = len(np.unique(np.stack([x, y]), axis=1).T)
             if pairs != len(np.unique(x)) or pairs != len(np.unique(y)):
+                said = _covered(rel[bare[a:z]], width, length) if literal else covered[:0]
+                if _enough(said, length, least, run):  # enough without any placeholder
+                    yield int(row[a]), int(item[a]), len(said), length, 0
                 continue
         yield int(row[a]), int(item[a]), len(covered), length, int((x != y).sum())
 
 
+def _covered(starts: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Words of an item that lie in windows with these starts."""
+    mark = np.zeros(length + 1, np.int64)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, starts + width, -1)
+    return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+
+
+def _enough(covered: np.ndarray, length: int, least: float, run: int) -> bool:
+    return len(covered) > 0 and (len(covered) >= least * length or (len(covered) >= run and _longest(covered) >= run))
+
+
 def _longest(covered: np.ndarray) -> int:
     cuts = np.flatnonzero(np.diff(covered) > 1)
     edges = np.concatenate([[-1], cuts, [len(covered) - 1]])
@@ -188,7 +201,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    width: int = 8, least: float = 0.5, run: int = 13, most_slots: float = 0.5, block_items: int = 20_000,
+    width: int = 8, least: float = 0.5, run: int = 13, most_slots: float = 0.5, block_items: int = 20_000, literal: bool = False,
 ) -> DataFrame:
     """Columns of ``docs`` plus ``hits``: array of (item, covered, item_words, changed), by item.
 
@@ -199,7 +212,8 @@ def contaminated(
     covers ``least`` of the item's words or ``run`` consecutive ones, and if its slots are consistent:
     each value of the item stands for one value of the text throughout, and the reverse, so that
     questions with other numbers or names are caught (``changed`` counts replaced slots) and chance
-    matches are not. The best passage per item is given.
+    matches are not. With ``literal`` a passage whose slots are not consistent still counts where its
+    windows of bare words alone cover enough. The best passage per item is given.
 
     The benchmark goes to the executors in blocks of ``block_items`` items, one pass over the texts
     for each block, so any benchmark fits. Null texts and ids of the benchmark are left out; null and
@@ -211,17 +225,17 @@ def contaminated(
     hit = f"struct<item:{benchmark.schema[item_col].dataType.simpleString()},covered:int,item_words:int,changed:int>"
     out = docs.drop("hits").withColumn("hits", F.array().cast(f"array<{hit}>"))
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_items):
-        out = out.mapInArrow(_scan(ids, texts, text_col, width, least, run, most_slots), out.schema)
+        out = out.mapInArrow(_scan(ids, texts, text_col, width, least, run, most_slots, literal), out.schema)
     return out
 
 
-def _scan(ids: list, texts: list, text_col: str, width: int, least: float, run: int, most_slots: float):
+def _scan(ids: list, texts: list, text_col: str, width: int, least: float, run: int, most_slots: float, literal: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Benchmark(ids, texts, width, most_slots)
         for batch in batches:
             for part in W.slices(batch, text_col):
                 best: dict[tuple[int, int], tuple] = {}
-                for row, item, covered, words, changed in _matches(Templates(part.column(text_col)), index, least, run):
+                for row, item, covered, words, changed in _matches(Templates(part.column(text_col)), index, least, run, literal):
                     best[row, ids[item]] = max(best.get((row, ids[item]), (0, 0, 0)), (covered, words, -changed))
                 at = part.schema.get_field_index("hits")
                 if best:

@@ -79,7 +79,7 @@ def op1_mix_sources(spark, sf_dir):
 @REGISTRY.add("op5_decontaminate")
 def op5_decontaminate(spark, sf_dir):
     """Contaminated documents with the benchmark items that they hold."""
-    found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), literal=True)
     items = F.array_join(F.transform("hits", lambda h: h["item"].cast("string")), ",")
     most = F.array_max(F.transform("hits", lambda h: h["covered"] / h["item_words"]))
     return found.where(F.size("hits") > 0).select("doc_id", F.lit(True).alias("contaminated"), items.alias("items"), F.round(most, 6).alias("covered"))
