@@ -185,6 +185,23 @@ def reconcile_turns(spark, sf_dir):
     return witness.reconcile(rows, "turn", "conv_id", "key", "rank")
 
 
+@REGISTRY.add(
+    "reconcile_turns_whole",
+    r"""
+    WITH one AS (SELECT turn, conv_id, max(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS k,
+                        min(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) AS r FROM conversations GROUP BY 1, 2)
+    SELECT turn, count(*) AS witnesses, count(DISTINCT k) AS versions, CAST(min(r) AS BIGINT) AS best_rank,
+           CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT k) = 1 THEN 'confirmed' ELSE 'disputed' END AS status
+    FROM one GROUP BY turn
+    """,
+)
+def reconcile_turns_whole(spark, sf_dir):
+    """Verdicts per number over whole texts; ``reconcile_turns`` compares the first 12 characters only."""
+    rank = graph.category_rank(F.col("role"), ["system", "user"]).cast("long").alias("rank")
+    rows = table(spark, sf_dir, "conversations").select("turn", "conv_id", text.text_skeleton(F.col("text")).alias("key"), rank)
+    return witness.reconcile(rows, "turn", "conv_id", "key", "rank")
+
+
 @REGISTRY.add(
     "running_heads",
     r"""
