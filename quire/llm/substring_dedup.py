@@ -15,12 +15,19 @@ from quire.llm.store import prepare, written
 
 #: Windows that a map task sorts and packs at a time, and that a bucket holds on average.
 CHUNK_WINDOWS = 2_000_000
+#: Bits of the hash that one exchange tells apart; finer buckets take a further exchange.
+EXCHANGE_BITS = 14
+#: Parts of the documents that a bucket deals its repeats to, at most.
+PARTS_PER_BUCKET = 64
 #: Bytes of text per word, on the low side, for the number of buckets.
 WORD_BYTES = 6
 
-RUNS = "bucket int, done boolean, docs binary, index binary, wide boolean, hashes binary, hash_bytes int"
-PARTS = "part int, docs binary, counts binary, hashes binary"
+RUNS = "bucket long, done boolean, base long, docs binary, doc_bytes int, index binary, index_bytes int, hashes binary, hash_bytes int, checks binary"
+PARTS = "part int, salt int, docs binary, counts binary, hashes binary"
 REPEATS = "doc long, hashes binary"
+#: Bytes of the second hash of a window, which tells windows with equal first hashes apart.
+CHECK_BYTES = 3
+_CHECK_STEP = 0xA24BAED4963EE407
 
 
 def _gaps(low: np.ndarray) -> tuple[bytes, int]:
@@ -30,59 +37,86 @@ def _gaps(low: np.ndarray) -> tuple[bytes, int]:
     return gaps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes(), size
 
 
-def _ungap(blob: bytes, size: int) -> np.ndarray:
+def _widened(blob: bytes, size: int) -> np.ndarray:
+    """Values of ``size`` bytes each as 64-bit ones."""
     raw = np.frombuffer(blob, np.uint8).reshape(-1, size)
     full = np.zeros((len(raw), 8), np.uint8)
     full[:, :size] = raw
-    return np.cumsum(full.view(W.U64).ravel(), dtype=W.U64)
+    return full.view(W.U64).ravel()
+
+
+def _ungap(blob: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_widened(blob, size), dtype=W.U64)
+
+
+class Entries:
+    """Windows as (hash, check, document), sorted by hash; ``first`` marks the windows of one text apart."""
 
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        same = hashes[order][1:] == hashes[order][:-1]
+        if (same & (checks[order][1:] != checks[order][:-1])).any():  # one hash for different windows
+            order = np.lexsort((checks, hashes))
+        self.hashes, self.checks, self.docs = hashes[order], checks[order], docs[order]
+        new = (self.hashes[1:] != self.hashes[:-1]) | (self.checks[1:] != self.checks[:-1])
+        self.first = np.flatnonzero(np.concatenate([[True], new]))
+        self.least = np.minimum.reduceat(self.docs, self.first)
+        self.again = self.docs > np.repeat(self.least, np.diff(np.append(self.first, len(hashes))))
 
-def _run_batches(chunk: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Packs (hash, document) of a chunk: one sorted run per bucket, each hash with its smallest document.
 
-    Larger documents of a hash within the chunk are known to repeat; they leave as rows marked done,
-    which any bucket passes on.
+def _run_batches(chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Packs (hash, check, document) of a chunk: one sorted run per bucket, each window with its smallest document.
+
+    A run names only the documents that its own windows start in, as gaps, so that a chunk's bytes do
+    not grow with the number of buckets. Larger documents of a window within the chunk are known to
+    repeat it; they leave as rows marked done, which any bucket passes on.
     """
-    hashes = np.concatenate([h for h, _ in chunk])
-    docs, index = np.unique(np.concatenate([d for _, d in chunk]), return_inverse=True)
-    order = np.argsort(hashes)
-    hashes, index = hashes[order], index[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    least = np.minimum.reduceat(index, first)
-    kind = np.uint32 if len(docs) > 0xFFFF else np.uint16
-    known = index > np.repeat(least, np.diff(np.append(first, len(hashes))))
-    table = docs.astype(np.int64).tobytes()
-    if known.any():
-        yield from _doc_lists(docs[index[known]], hashes[known], bits)
-    unique, least = hashes[first], least.astype(kind)
-    at = np.searchsorted(unique >> W.U64(64 - bits) if bits else np.zeros(len(unique), W.U64), np.arange((1 << bits) + 1, dtype=W.U64))
+    e = Entries(*(np.concatenate(x) for x in zip(*chunk, strict=True)))
+    if e.again.any():
+        yield from _doc_lists(e.docs[e.again], e.hashes[e.again], bits)
+    unique, least = e.hashes[e.first], e.least
+    checks = e.checks[e.first].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :CHECK_BYTES]
+    tops = unique >> W.U64(64 - bits) if bits else np.zeros(len(unique), W.U64)
+    at = np.append(np.flatnonzero(np.concatenate([[True], tops[1:] != tops[:-1]])), len(unique))
     mask = W.U64((1 << (64 - bits)) - 1)
     rows = []
-    for bucket in range(1 << bits):
-        lo, hi = at[bucket], at[bucket + 1]
-        if lo < hi:
-            blob, size = _gaps(unique[lo:hi] & mask)
-            rows.append((bucket, False, table, least[lo:hi].tobytes(), kind is np.uint32, blob, size))
-            if len(rows) == 64:
-                yield _runs(rows)
-                rows = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        docs, index = np.unique(least[lo:hi], return_inverse=True)
+        names, doc_bytes = _gaps((docs - docs[0]).astype(W.U64))
+        index_bytes = max(1, (int(len(docs) - 1).bit_length() + 7) // 8)
+        places = index.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :index_bytes].tobytes()
+        blob, size = _gaps(unique[lo:hi] & mask)
+        rows.append((int(tops[lo]), False, int(docs[0]), names, doc_bytes, places, index_bytes, blob, size, checks[lo:hi].tobytes()))
+        if len(rows) == 64:
+            yield _runs(rows)
+            rows = []
     if rows:
         yield _runs(rows)
 
 
 def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.int32()]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     names = [c.split()[0] for c in RUNS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def _unpacked(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, checks, documents) of a run."""
+    hashes = _ungap(row["hashes"], row["hash_bytes"])
+    if bits:
+        hashes |= W.U64(row["bucket"]) << W.U64(64 - bits)
+    docs = _ungap(row["docs"], row["doc_bytes"]).astype(np.int64) + row["base"]
+    return hashes, _widened(row["checks"], CHECK_BYTES).astype(np.uint32), docs[_widened(row["index"], row["index_bytes"]).astype(np.int64)]
+
+
 def _doc_lists(docs: np.ndarray, hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows marked done: for each document its repeated hashes."""
+    """Rows marked done: for each document its repeated hashes, in a bucket by document."""
     order = np.argsort(docs, kind="stable")
     docs, hashes = docs[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     ends = np.append(first[1:], len(docs))
-    rows = [(int(docs[a]) % (1 << bits), True, docs[a : a + 1].astype(np.int64).tobytes(), b"", False, np.unique(hashes[a:b]).tobytes(), 8) for a, b in zip(first, ends, strict=True)]
+    place = W.mix(docs[first].astype(W.U64)) >> W.U64(64 - bits) if bits else np.zeros(len(first), W.U64)
+    rows = [(int(p), True, int(docs[a]), b"", 0, b"", 0, np.unique(hashes[a:b]).tobytes(), 8, b"") for p, a, b in zip(place, first, ends, strict=True)]
     for i in range(0, len(rows), 5000):
         yield _runs(rows[i : i + 5000])
 
@@ -96,9 +130,11 @@ def _map_runs(bits: int, width: int):
                 starts = W.window_starts(words.offsets, width)
                 if not len(starts):
                     continue
-                hashes = W.window_hashes(words.hashes(), width)[starts]
+                each = words.hashes()
+                hashes = W.window_hashes(each, width)[starts]
+                checks = (W.window_hashes(each, width, _CHECK_STEP)[starts] >> W.U64(64 - 8 * CHECK_BYTES)).astype(np.uint32)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
-                chunk.append((hashes, np.repeat(ids, np.maximum(words.counts - width + 1, 0))))
+                chunk.append((hashes, checks, np.repeat(ids, np.maximum(words.counts - width + 1, 0))))
                 held += len(starts)
                 if held >= CHUNK_WINDOWS:
                     yield from _run_batches(chunk, bits)
@@ -109,38 +145,54 @@ def _map_runs(bits: int, width: int):
     return run
 
 
+def _finer(bits: int, more: int):
+    """Runs in order of their buckets, packed anew into finer buckets, a chunk of windows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["done"]:
+                    yield _runs([(row["bucket"] << (more - bits), *[row[c.split()[0]] for c in RUNS.split(", ")[1:]])])
+                    continue
+                chunk.append(_unpacked(row, bits))
+                held += len(chunk[-1][0])
+                if held >= CHUNK_WINDOWS:
+                    yield from _run_batches(chunk, more)
+                    chunk, held = [], 0
+        if chunk:
+            yield from _run_batches(chunk, more)
+
+    return run
+
+
 def _merge_bucket(bits: int):
     """Of the runs of a bucket, the repeats, dealt into parts by document and packed to a row per part."""
+    parts = min(1 << bits, PARTS_PER_BUCKET)
 
     def merge(key, rows):
-        hashes, docs, done_docs, done_hashes = [], [], [], []
+        runs, docs, hashes = [], [], []
         for r in rows.to_pylist():
             if r["done"]:
-                done_hashes.append(np.frombuffer(r["hashes"], W.U64))
-                done_docs.append(np.full(len(done_hashes[-1]), int.from_bytes(r["docs"], "little", signed=True)))
-                continue
-            hashes.append(_ungap(r["hashes"], r["hash_bytes"]))
-            docs.append(np.frombuffer(r["docs"], np.int64)[np.frombuffer(r["index"], np.uint32 if r["wide"] else np.uint16)])
-        if hashes:
-            hashes, docs = np.concatenate(hashes), np.concatenate(docs)
-            order = np.argsort(hashes)
-            hashes, docs = hashes[order], docs[order]
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            least = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(hashes))))
-            again = docs > least
-            done_docs.append(docs[again])
-            done_hashes.append(hashes[again] | (W.U64(key[0].as_py()) << W.U64(64 - bits)) if bits else hashes[again])
-        docs, hashes = np.concatenate(done_docs), np.concatenate(done_hashes)
-        part = (W.mix(docs.astype(W.U64)) % W.U64(1 << bits)).astype(np.int64)
+                hashes.append(np.frombuffer(r["hashes"], W.U64))
+                docs.append(np.full(len(hashes[-1]), r["base"]))
+            else:
+                runs.append(_unpacked(r, bits))
+        if runs:
+            e = Entries(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+            docs.append(e.docs[e.again])
+            hashes.append(e.hashes[e.again])
+        docs, hashes = np.concatenate(docs), np.concatenate(hashes)
+        part = (W.mix(docs.astype(W.U64)) % W.U64(parts)).astype(np.int64)
         order = np.lexsort((docs, part))
         docs, hashes, part = docs[order], hashes[order], part[order]
-        edges = np.searchsorted(part, np.arange((1 << bits) + 1))
+        edges = np.searchsorted(part, np.arange(parts + 1))
         out = []
         for p in np.flatnonzero(np.diff(edges)):
             some, counts = np.unique(docs[edges[p] : edges[p + 1]], return_counts=True)
-            out.append((int(p), some.tobytes(), counts.astype(np.uint32).tobytes(), hashes[edges[p] : edges[p + 1]].tobytes()))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            out.append((int(p), int(key[0].as_py()) // parts, some.tobytes(), counts.astype(np.uint32).tobytes(), hashes[edges[p] : edges[p + 1]].tobytes()))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PARTS.split(", ")])
 
     return merge
@@ -159,20 +211,34 @@ def _by_document(rows):
 
 
 def repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc, hashes), a row per document: windows of a document that also start in a document with a smaller id.
+    """(doc, hashes), a row per document with lists of windows that also start in a document with a smaller id.
 
     ``docs`` has (id, text). Map tasks hash every window of every text and reduce chunks of them to
-    sorted runs with the smallest document per hash, so that a passage of many documents sends one
-    entry per chunk; runs meet by hash range. A document may have several rows. Rows without an id
-    take no part. Hashes are 64 bits of polynomial hashes of words and of windows.
+    sorted runs with the smallest document per window, so that a passage of many documents sends one
+    entry per chunk; runs meet by hash range. Buckets hold some ``CHUNK_WINDOWS`` windows whatever the
+    input; where they are more than an exchange tells apart, the runs of coarse buckets are packed into
+    finer ones and exchanged again, so that rows stay few and long. Every bucket deals its repeats to a
+    fixed number of parts by document; neighbouring buckets meet there, and the lists of a document
+    are joined last. Rows without an id take no part.
+
+    A window is told by 64 bits of a polynomial hash over word hashes and ``CHECK_BYTES`` bytes of a
+    second one over another base: 88 bits, some 0.2 pairs expected by chance among 10^13 windows.
     """
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (int(size) // WORD_BYTES // CHUNK_WINDOWS).bit_length())
     known = docs.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "text")
-    runs = known.mapInArrow(_map_runs(bits, width), RUNS)
+    at = min(bits, EXCHANGE_BITS)
+    runs = known.mapInArrow(_map_runs(at, width), RUNS)
+    while at < bits:
+        more = min(bits, at + EXCHANGE_BITS)
+        runs = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_finer(at, more), RUNS)
+        at = more
     parts = runs.groupBy("bucket").applyInArrow(_merge_bucket(bits), PARTS)
-    return written(parts.groupBy("part").applyInArrow(_by_document, REPEATS), "repeats")
+    lists = parts.groupBy("part", "salt").applyInArrow(_by_document, REPEATS)
+    if bits > PARTS_PER_BUCKET.bit_length() - 1:  # a document has a list per salt
+        return written(lists.groupBy("doc").agg(F.collect_list("hashes").alias("hashes")), "repeats")
+    return written(lists.select("doc", F.array("hashes").alias("hashes")), "repeats")
 
 
 def _intervals(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +263,13 @@ def _cut_part(part: pa.RecordBatch, width: int, with_text: bool) -> pa.RecordBat
     texts = part.column("text").fill_null("").to_pylist()
     lists = part.column("hashes").to_pylist()
     rows = []
-    for text, blob in zip(texts, lists, strict=True):
+    for text, blobs in zip(texts, lists, strict=True):
         kept = text.encode().split()  # bytes.split() splits at ASCII white space
         n, starts, ends = len(kept), [], []
-        if blob:
+        if blobs:
             data = np.frombuffer(text.encode(), np.uint8)
             found = W.window_hashes(W.Words(data, np.array([0, len(data)])).hashes(), width)
-            hit = np.flatnonzero(np.isin(found, np.frombuffer(blob, W.U64)))
+            hit = np.flatnonzero(np.isin(found, np.frombuffer(b"".join(blobs), W.U64)))
             edge = np.zeros(n + 1, np.int32)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + width, -1)

@@ -85,12 +85,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes of all windows of ``width`` consecutive word hashes (texts run together)."""
+def window_hashes(words: np.ndarray, width: int, step: int = _STEP) -> np.ndarray:
+    """Rabin-Karp hashes to base ``step`` of all windows of ``width`` consecutive word hashes (texts run together)."""
     n = max(0, len(words) - width + 1)
     out = np.zeros(n, U64)
     for k in range(width):
-        out *= U64(_STEP)
+        out *= U64(step)
         out += words[k : k + n]
     return mix(out)
 

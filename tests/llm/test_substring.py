@@ -29,9 +29,11 @@ def brute(rows, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width", [13, 4])
-def test_matches_brute_force(spark, width, monkeypatch):
+@pytest.mark.parametrize("width,bits", [(13, 14), (4, 14), (4, 3)])
+def test_matches_brute_force(spark, width, bits, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK_WINDOWS", 50 * width)  # several buckets
+    monkeypatch.setattr(substring_dedup, "EXCHANGE_BITS", bits)  # several exchanges
+    monkeypatch.setattr(substring_dedup, "PARTS_PER_BUCKET", 2 if bits == 3 else 64)
     rng = random.Random(width)
     vocab = ["a", "bé", "𝄞", "c.", "\x1c", " x", "dd", "e"]
     passage = [" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 60))) for _ in range(12)]
@@ -59,3 +61,21 @@ def test_word_hashes_do_not_depend_on_position(monkeypatch):
     data = np.frombuffer(text, np.uint8)
     h = W.Words(data, np.array([0, len(data)])).hashes()
     assert len(set(h[[0, 2, 5, 7]])) == 1 and h[1] == h[4] and len(set(h)) == 4
+
+
+def test_bytes_of_a_chunk_do_not_grow_with_the_buckets():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 2_000_000
+    chunk = [(rng.integers(0, 2**64, n, np.uint64), rng.integers(0, 1 << 24, n, np.uint32), np.repeat(np.sort(rng.integers(0, 10**9, 6000)), n // 6000 + 1)[:n])]
+    size = lambda bits: sum(b.nbytes for b in substring_dedup._run_batches(chunk, bits))
+    few, many = size(4), size(substring_dedup.EXCHANGE_BITS)
+    assert many < 1.3 * few, (few, many)
+
+
+def test_equal_first_hashes_are_told_apart():
+    import numpy as np
+
+    e = substring_dedup.Entries(np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 1, 2], np.uint32), np.array([3, 4, 7, 8]))
+    assert sorted(e.docs[e.again].tolist()) == [7, 8]
