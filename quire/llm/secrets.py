@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: kind -> (pattern, group whose length counts, least length); letters of the keywords in either case.
+#: A run that is too short cannot hold a longer one, so only ``assign``, whose failing matches use up text, needs a test of its own.
 BASE = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    "access": (r"AKIA[A-Z0-9]+", 0, 16),
-    "hex": (r"[0-9a-f]+", 0, 32),
+    "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
+    "hex": (r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32),
 }
 #: Cheap tests that hold for every text with a match that counts.
 MAY = {
@@ -20,101 +21,151 @@ MAY = {
     "hex": r"[0-9a-f]{32}",
 }
 KINDS = [*BASE, "markov"]
-#: Characters of the Markov models, in order; pairs index the table of log ratios.
+#: Characters of the Markov models; runs of them are scored.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-#: Runs of these characters with a digit, of 20 and more, are scored by the models.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{20,}"
+RUN = "[A-Za-z0-9+/_.=-]"
+#: Most that one pair of characters adds to the log-likelihood ratio of a run, and the sum above which a run is taken for random.
+MOST_PER_PAIR, THRESHOLD = 2.0, 12.0
 
 SPAN = "struct<kind:int,start:int,end:int>"
-
-
-def _at(ch: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), ch)
+#: The table of log ratios is indexed by two character codes below this.
+CODES = 128
 
 
 def _pairs(token: Column) -> Column:
-    """Table indices of all neighbouring characters of a token over the alphabet."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        lambda i: (_at(F.substr(token, i, F.lit(1))) - 1) * len(ALPHABET) + _at(F.substr(token, i + 1, F.lit(1))),
-    )
+    """Table indices, from 1, of all neighbouring characters of a token over the alphabet."""
+    codes = F.transform(F.split(token, ""), F.ascii)
+    return F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: a * CODES + b + 1)
 
 
 def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratio of random strings over identifiers for every pair of characters.
 
     ``samples`` has (token, random boolean); tokens of under two characters, null tokens or labels
-    and characters outside the alphabet are left out. First-order models, smoothed
-    towards each label's character frequencies; the counts are one grouped aggregate of at most the alphabet's square rows per label, whatever
-    the size of the samples. Without samples all ratios are 0.
+    and characters outside the alphabet are left out. First-order models, smoothed towards each
+    label's character frequencies; the counts are one grouped aggregate of at most the alphabet's
+    square rows per label, whatever the size of the samples. Without samples all ratios are 0. The
+    list is indexed by the first character's code times ``CODES`` plus the second one's.
     """
     token = F.regexp_replace("token", f"[^{ALPHABET.replace('-', '')}-]", "")
-    rows = samples.where(F.col("random").isNotNull()).select("random", token.alias("token")).where(F.length("token") >= 2)
+    rows = samples.where(F.col("random").isNotNull()).select("random", F.explode(F.array(token)).alias("token")).where(F.length("token") >= 2)
     counts = rows.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
-    k = len(ALPHABET)
-    seen = {label: [0.0] * (k * k) for label in (True, False)}
+    seen: dict[bool, dict[tuple[str, str], int]] = {True: {}, False: {}}
     for r in counts.collect():  # at most 2 * 68 * 68 rows
-        seen[r["random"]][r["pair"] - 1] += r["count"]
+        seen[r["random"]][chr((r["pair"] - 1) // CODES), chr((r["pair"] - 1) % CODES)] = r["count"]
 
-    def model(row: list[float]) -> list[float]:
+    def model(row: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
         """Conditional log-probabilities, backing off to the label's own character frequencies."""
-        single = [sum(row[j::k]) + smoothing for j in range(k)]
-        total, out = sum(single), []
-        for i in range(k):
-            n = sum(row[i * k : i * k + k])
-            out += [math.log((row[i * k + j] + smoothing * k * single[j] / total) / (n + smoothing * k)) for j in range(k)]
+        k = len(ALPHABET)
+        single = {b: smoothing + sum(row.get((a, b), 0) for a in ALPHABET) for b in ALPHABET}
+        total, out = sum(single.values()), {}
+        for a in ALPHABET:
+            n = sum(row.get((a, b), 0) for b in ALPHABET)
+            out |= {(a, b): math.log((row.get((a, b), 0) + smoothing * k * single[b] / total) / (n + smoothing * k)) for b in ALPHABET}
         return out
 
-    return [a - b for a, b in zip(model(seen[True]), model(seen[False]), strict=True)]
+    random, ordinary = model(seen[True]), model(seen[False])
+    table = [0.0] * (CODES * CODES)
+    for a, b in random:
+        table[ord(a) * CODES + ord(b)] = random[a, b] - ordinary[a, b]
+    return table
 
 
-def random_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled random strings, made from digests of a counter: base64, hex and upper-case keys."""
+def random_samples(spark: SparkSession, n: int = 12000) -> DataFrame:
+    """Labelled random strings, made from digests of a counter: base64, hex and upper-case keys of 12 to 43 characters."""
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
-    b64 = F.substring(F.base64(F.unhex(digest)), 1, 40)
-    upper = F.translate(F.upper(F.substring(F.base64(F.unhex(digest)), 1, 20)), "+/=", "XYZ")
-    token = F.when(F.col("id") % 3 == 0, b64).when(F.col("id") % 3 == 1, F.substring(digest, 1, 40)).otherwise(upper)
-    return spark.range(n).select(token.alias("token"), F.lit(True).alias("random"))
+    b64 = F.base64(F.unhex(digest))
+    upper = F.translate(F.upper(b64), "+/=", "XYZ")
+    token = F.when(F.col("id") % 3 == 0, b64).when(F.col("id") % 3 == 1, digest).otherwise(upper)
+    return spark.range(n).select(F.substr(token, F.lit(1), (12 + F.col("id") % 32).cast("int")).alias("token"), F.lit(True).alias("random"))
+
+
+def ordinary_form(word: Column) -> Column:
+    """An identifier made from a word: as it is, joined, numbered, versioned, in a path or address, or a date; which one, a hash of the word says."""
+    h = F.xxhash64(F.lit("form"), word)
+    digit = lambda n, shift: F.pmod(F.shiftright(h, shift), F.lit(n)).cast("string")
+    two = lambda n, shift: F.lpad((F.pmod(F.shiftright(h, shift), F.lit(n)) + 1).cast("string"), 2, "0")
+    year, month, day, low = F.concat(F.lit("20"), two(60, 8)), two(12, 16), two(28, 24), F.lower(word)
+    joined = lambda sep: F.concat(low, F.lit(sep), F.reverse(F.array(low, F.lit("item"), F.lit("main")))[F.pmod(F.shiftright(h, 12), F.lit(3)).cast("int")])
+    forms = [
+        word, word, word, joined("_"), joined("-"), joined("."), joined("/"),
+        F.concat(low, F.initcap(low)), F.concat(low, digit(1000, 20)), F.concat(low, F.lit("_"), digit(100, 20)), F.concat_ws("_", F.upper(word), F.upper(word)),
+        F.concat_ws("-", year, month, day, low), F.concat(year, month, day), F.concat_ws("-", low, F.concat(F.lit("v"), digit(10, 28))),
+        F.concat_ws(".", digit(256, 4), digit(256, 12), digit(256, 20), digit(256, 28)), F.concat_ws(".", digit(10, 4), digit(20, 12), digit(40, 20)),
+        F.concat(F.lit("www."), low, F.lit(".com/"), low, F.lit("-"), digit(10000, 20)), F.concat(low, F.lit("/"), F.initcap(low), digit(10, 28), F.lit(".txt")),
+        F.concat(low, F.lit("_"), year, F.lit("_"), digit(10, 28), F.lit(".pdf")), digit(1_000_000_000, 8),
+    ]
+    which, out = F.pmod(h, F.lit(len(forms))), forms[0]
+    for i, form in enumerate(forms[1:], 1):
+        out = F.when(which == i, form).otherwise(out)
+    return out
+
+
+def identifier_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled ordinary identifiers, one for each distinct word of 3 and more letters in all documents (see ``ordinary_form``).
+
+    A word counts once however often it stands anywhere, so copies do not weigh more.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{3,}"), 0))).alias("word")).distinct()
+    return words.select(ordinary_form(F.col("word")).alias("token"), F.lit(False).alias("random"))
+
 
+def _steps(pieces: Column, matches: Column) -> Column:
+    """For every match the text before it, from the last one on, and its own length."""
+    return F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len")))
 
-def identifier_samples(docs: DataFrame, text_col: str = "text", n_docs: int = 500) -> DataFrame:
-    """Labelled ordinary identifiers: words of 4 and more letters of ``n_docs`` documents.
 
-    The documents are the ``n_docs`` (the bound of the sample) with the smallest hash of their text.
+def _positions(steps: Column, kind: int) -> Column:
+    """Spans of all matches from their steps.
+
+    Steps are dealt into blocks of the root of their number: appending copies an array, so the work is
+    the number times its root, not its square.
     """
-    some = docs.select(F.col(text_col).alias("_t")).where(F.col("_t").isNotNull()).orderBy(F.xxhash64("_t"), "_t").limit(n_docs)
-    words = F.explode(F.regexp_extract_all("_t", F.lit(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]+(?:[_.-][A-Za-z]+)*(?![A-Za-z0-9+/_=-])"), 0))
-    return some.select(words.alias("token")).where(F.length("token") >= 4).withColumn("random", F.lit(False))
-
-
-def _lengths(pieces: Column, matches: Column, values: Column, kind: int) -> Column:
-    """Spans of all matches, from the texts between them: (spans so far, end of the last one)."""
-    steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    spans = F.aggregate(
-        steps,
-        start,
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["len"]).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"))),
-            ).alias("spans"),
-        ),
-        lambda a: a["spans"],
+    return _let(steps, lambda all_steps: _let(_blocks(all_steps), lambda blocks: _block_spans(blocks, kind)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; in a lambda it would be once per element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(steps: Column) -> Column:
+    n = F.size(steps)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    count = F.greatest(F.lit(1), F.ceil(n / width).cast("int"))
+    return F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(steps, (i - 1) * width + 1, width))
+
+
+def _block_spans(blocks: Column, kind: int) -> Column:
+    whole = lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + s["gap"] + s["len"])
+
+    def span(a: Column, s: Column) -> Column:
+        start = a["at"] + s["gap"]
+        return F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + s["len"]).alias("end")))
+
+    def inner(block: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        grow = lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["spans"], span(a, s)).alias("spans"))
+        return F.aggregate(block, zero, grow, lambda a: a["spans"])
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(
+        blocks, begin, lambda a, b: F.struct((a["at"] + whole(b)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"]
     )
-    return F.zip_with(spans, values, lambda s, v: F.struct(s.alias("span"), v.alias("value")))
+    return F.flatten(F.zip_with(blocks, starts, inner))
 
 
-def _matches(text: Column, pattern: str, group: int, kind: int) -> Column:
-    """Leftmost non-overlapping matches: array of (span in code points, value of the group)."""
-    return _lengths(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group), kind)
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """Spans of the leftmost non-overlapping matches, in code points."""
+    return _positions(_steps(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)), kind)
 
 
-def _llr(token: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio over the pairs of a token."""
-    total = F.aggregate(_pairs(token), F.lit(0.0), lambda a, i: a + F.element_at(table, i))
-    return total / (F.length(token) - 1)
+def _ratio(token: Column, table: Column) -> Column:
+    """Summed log-likelihood ratio over the pairs of a token; long ones are split first, so that each character is found at once."""
+    code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
+    add = lambda a, i: a + F.get(table, i)
+    short = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: add(a, code(i) * CODES + code(i + 1)))
+    return F.when(F.length(token) <= 64, short).otherwise(F.aggregate(_pairs(token), F.lit(0.0), lambda a, i: add(a, i - 1)))
 
 
 def secret_spans(text: Column, table: list[float], threshold: float) -> tuple[Column, Column]:
@@ -123,18 +174,20 @@ def secret_spans(text: Column, table: list[float], threshold: float) -> tuple[Co
     none = F.array().cast(f"array<{SPAN}>")
     base = []
     for kind, (name, (pattern, group, least)) in enumerate(BASE.items()):
-        found = _matches(text, pattern, group, kind)
-        base.append(F.when(text.rlike(MAY[name]), F.transform(_long_enough(found, least), lambda m: m["span"])).otherwise(none))
-    ratios = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in table) + "]"), "array<double>")
-    scored = F.filter(_matches(text, CANDIDATE, 0, len(BASE)), lambda m: _llr(m["value"], ratios) > threshold)
-    added = F.when(text.rlike(CANDIDATE), F.transform(scored, lambda m: m["span"])).otherwise(none)
+        found = _matches(text, pattern, kind)
+        if group:
+            values = F.regexp_extract_all(text, F.lit(pattern), group)
+            found = F.transform(F.filter(F.arrays_zip(found.alias("span"), values.alias("value")), lambda m: F.length(m["value"]) >= least), lambda m: m["span"])
+        base.append(F.when(text.rlike(MAY[name]), found).otherwise(none))
+    ratios = F.from_json(F.lit("[" + ",".join(f"{min(x, MOST_PER_PAIR):.4f}" if x else "0" for x in table) + "]"), "array<double>")
+    # no shorter run can reach the threshold
+    pattern = f"(?<!{RUN}){RUN}{{{int(threshold / MOST_PER_PAIR) + 2},}}"
+    scores = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: _ratio(m, ratios) > threshold)
+    spans = F.arrays_zip(_matches(text, pattern, len(BASE)).alias("span"), scores.alias("random"))
+    added = F.when(F.array_contains(scores, True), F.transform(F.filter(spans, lambda m: m["random"]), lambda m: m["span"])).otherwise(none)
     return F.concat(*base), added
 
 
-def _long_enough(found: Column, least: int) -> Column:
-    return F.filter(found, lambda m: F.length(m["value"]) >= least)
-
-
 def _joined(spans: Column) -> Column:
     """kind:start:end of all spans by start, then kind as listed, joined by commas."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -142,11 +195,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, spans of secrets by kind, in code points, end exclusive.
 
-    Columns: ``base`` (spans of the fixed patterns) and ``added`` (runs that the Markov models take
-    for random: mean log-likelihood ratio per pair above ``threshold``; runs that overlap a base span
+    Columns: ``base`` (spans of the fixed patterns) and ``added`` (maximal runs over the alphabet that
+    the Markov models take for random: log-likelihood ratio, summed over pairs that add
+    ``MOST_PER_PAIR`` each at most, above ``threshold``; so a short run must look random throughout,
+    and runs of fewer than threshold / MOST_PER_PAIR pairs cannot pass. Runs that overlap a base span
     are left out). Both are arrays of (kind, start, end), kind indexing ``KINDS``. A null text is
     empty and has no spans; whole texts are scanned, whatever their length; other columns are ignored.
     ``samples``: see ``train_markov``.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,15 +56,60 @@ def test_secret_base_spans_match_brute_force(spark):
         assert got[i].n_assign == want.count("assign:") and got[i].n_hex == want.count("hex:") and got[i].n_access == want.count("access:")
 
 
-def test_markov_separates_random_from_words(spark):
-    words = ["connection_pool_size2", "http.request.timeout1", "user_profile_settings3", "benchmark-results-final4"]
-    rand = ["xQ9vZ2kLr8TnW4bYp7Gd", "aJ3kd9Xq0PzLm2Vt8RwE", "q8Zt5LmX2cVb9NkJ4hGf"]
-    ident = [(w, False) for w in "connection pool size http request timeout user profile settings benchmark results final the and value number string".split()] * 30
-    samples = secrets.random_samples(spark).unionByName(spark.createDataFrame([*ident, (None, True), ("a", None)], "token string, random boolean"))
-    docs = spark.createDataFrame([(i, f"see {w} there") for i, w in enumerate(words + rand)], "doc_id long, text string")
-    got = {r.doc_id: len(r.added) for r in secrets.scan_secrets(docs, samples).collect()}
-    assert [got[i] for i in range(7)] == [0] * 4 + [1] * 3
-    assert secrets.train_markov(samples.limit(0)) == [0.0] * len(secrets.ALPHABET) ** 2
+ORDINARY = (
+    "connection_pool_size2 http.request.timeout1 user_profile_settings3 benchmark-results-final4 2024-01-15-meeting-notes-v2 192.168.100.200.10.20.30 report_2023_final_version_7.docx "
+    "www.example.com/products/item-4711 src/main/java/com/acme/Service2.java 20240115 internationalization getUserProfileById MAX_CONNECTION_COUNT 1.14.3-beta.2 /usr/local/lib/python3.11"
+).split()
+RANDOM = "xQ9vZ2kLr8TnW4bYp7Gd aJ3kd9Xq0PzLm2Vt8RwE q8Zt5LmX2cVb9NkJ4hGf XkQzVbNwRtLpGhJd fG7dK2pQ9xZ4 BCQXZRTKWPVHGJMNDFLS".split()
+
+
+def brute_added(text, table, base):
+    """Runs that the table takes for random, but for those that overlap a base span."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text or ""):
+        ratio = sum(min(table[ord(a) * secrets.CODES + ord(b)], secrets.MOST_PER_PAIR) for a, b in zip(m[0], m[0][1:]))
+        if ratio > secrets.THRESHOLD and not any(s < m.end() and m.start() < e for s, e in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_markov_tells_random_from_ordinary(spark):
+    """Fitted on half of the words of the smallest tables; the identifiers of the other half are held out."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = secrets.identifier_samples(docs).withColumn("h", F.pmod(F.xxhash64("token"), F.lit(2)))
+    keys = secrets.random_samples(spark, 6000).withColumn("h", F.pmod(F.xxhash64("token"), F.lit(2)))
+    known = keys.unionByName(words).where("h = 0").select("token", "random")
+    blank = spark.createDataFrame([(None, True), ("a", None)], "token string, random boolean")
+    table = secrets.train_markov(known.unionByName(blank))
+    base, added = secrets.secret_spans(F.col("token"), table, secrets.THRESHOLD)
+    held = keys.unionByName(words).where("h = 1").select("random", (F.size(added) > 0).alias("hit"), F.length("token").alias("n")).collect()
+    right, wrong = sum(r.random and r.hit for r in held), sum(not r.random and r.hit for r in held)
+    recall = right / sum(r.random for r in held)
+    long = [r.hit for r in held if r.random and r.n >= 20]
+    print("precision", right / (right + wrong), "recall", recall, "from 20 characters", sum(long) / len(long), len(held))
+    assert right / (right + wrong) > 0.99 and recall > 0.9 and sum(long) / len(long) > 0.97
+    texts = [f"see {w} there" for w in ORDINARY + RANDOM] + ["password = xQ9vZ2kLr8TnW4bYp7Gd", "é" * 30 + " xQ9vZ2kLr8TnW4bYp7Gd𝄞aJ3kd9Xq0PzLm2Vt8RwE", None, "x" * 100 + "aJ3kd9Xq0PzLm2Vt8RwE" * 5]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).collect()}
+    table = secrets.train_markov(known)
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end) for s in got[i].added] == brute_added(t, table, [(s.start, s.end) for s in got[i].base]), t
+    assert [len(got[i].added) for i in range(len(ORDINARY + RANDOM))] == [0] * len(ORDINARY) + [1] * len(RANDOM)
+    assert secrets.train_markov(known.limit(0)) == [0.0] * secrets.CODES**2
+
+
+def test_spans_take_time_in_proportion(spark):
+    """Texts full of failing and counting matches: four times the length takes some four times as long, not sixteen."""
+    table = [-0.1] * secrets.CODES**2
+    base, added = secrets.secret_spans(F.col("t"), table, secrets.THRESHOLD)
+    took = {}
+    for n in (1_000, 4_000, 16_000):
+        text = "token=a be cafe password: hunter2x4y abcdefghij " * n
+        df = spark.createDataFrame([(text,)], "t string")
+        began = time.time()
+        spans = df.select(base.alias("b")).first().b
+        took[n] = time.time() - began
+        assert len(spans) == n and (spans[-1].start, spans[-1].end) == (48 * (n - 1) + 16, 48 * (n - 1) + 36)
+    assert took[16_000] < 10 * max(took[4_000], 0.5), took
 
 
 TREE = "tree long, node long, parent long, score double, role string, text string, extra string"
