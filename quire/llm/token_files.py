@@ -13,15 +13,18 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm import words as W
-from quire.llm.store import new_path, prepare
+from quire.llm.store import cut, new_path, prepare
 from quire.llm.wavelet import WaveletMatrix, build
 
 #: Tokens after which a shard is closed; a longer document has a shard of its own.
 SHARD_TOKENS = 4_000_000
 #: Bytes of text per partition that is encoded by one task.
 PART_BYTES = 16 << 20
+#: Parts that are summed together before the groups of them are.
+GROUP = 1000
 #: Pieces after which a worker starts a new memory of their ids; the one before is kept beside it.
 MEMORY = 350_000
 
@@ -50,15 +53,15 @@ class Encoder:
 
     Its pre-tokenizer starts a new piece at every space between two non-space characters, takes a line
     break between two such characters as a piece, and a full stop or comma between a letter or digit
-    and white space. Texts are cut there and each distinct piece encoded by the library once. Strings of
-    special tokens in a text are ordinary text.
+    and white space. Texts are cut there and each distinct piece encoded by the library once. A text
+    that holds the string of an added token goes whole through the library, which takes it for that token.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(sorted(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values())), key=len, reverse=True)) or r"(?!)")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.levels = max(1, (max(vocab.values())).bit_length())
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
@@ -90,11 +93,14 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known, self.before = {}, self.known
         self.known.update(self.marks)
-        simple = [i for i, yes in enumerate(_simple(texts)) if yes]
+        whole = {i for i, t in enumerate(texts) if self.added.search(t)}
+        simple = [i for i, yes in enumerate(_simple(texts)) if yes and i not in whole]
         out: list[bytes] = [b""] * len(texts)
+        for i in whole:
+            out[i] = self._plain(texts[i])
         for i, ids in zip(simple, self._gather([_marked(texts[i]) for i in simple]), strict=True):
             out[i] = ids
-        for i in sorted(set(range(len(texts))).difference(simple)):
+        for i in sorted(set(range(len(texts))).difference(simple, whole)):
             out[i] = self._by_piece(texts[i])
         return out
 
@@ -204,8 +210,9 @@ def _encoder(path: str) -> Encoder:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Encodes whole texts and writes them to ``folder`` as shards in ascending order of id.
 
-    Each text is followed by ``end_id``; a null text is empty. Rows are dealt by id ranges and sorted;
-    null ids come first, rows that share an id stand in order of text. A shard is one row (part, shard,
+    Each text is followed by ``end_id``; a null text is empty. Rows are dealt by ranges of id and of a
+    hash of the text, so that not even one id of all rows makes a single part, and sorted; null ids come
+    first, rows that share an id stand in order of that hash, then of text. A shard is one row (part, shard,
     n_docs, n_tokens, payload) of a Parquet table, so that any store Spark writes to will do and a lost
     task leaves nothing behind; shards in order of (part, shard) hold the documents in order.
     ``tokenizer``: path of a tokenizer file on every executor. Other columns are ignored; an empty
@@ -214,7 +221,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-size // PART_BYTES)), "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(max(1, -(-size // PART_BYTES)), "id", "key").sortWithinPartitions("id", "key", "text").select("id", "text")
     dealt.mapInArrow(_encode_parts(tokenizer, end_id), SHARDS).write.parquet(folder)
 
 
@@ -226,18 +234,19 @@ def read_shards(docs_folder: DataFrame) -> DataFrame:
 
     The crc is over the decoded ids as little-endian unsigned 32-bit integers.
     """
-    spark = docs_folder.sparkSession
-    totals = {r.part: r.n for r in docs_folder.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per task that wrote
-    starts, at = [], 0
-    for part in sorted(totals):
-        starts.append((part, at))
-        at += totals[part]
-    table = F.broadcast(spark.createDataFrame(starts, "part int, part_start long"))
-    sums = docs_folder.select("part", "shard", "n_tokens")
-    earlier = sums.select("part", F.col("shard").alias("_s"), F.col("n_tokens").alias("_n"))
-    inside = sums.join(earlier, "part").groupBy("part", "shard").agg(F.sum(F.when(F.col("_s") < F.col("shard"), F.col("_n")).otherwise(0)).alias("shard_start"))
-    placed = docs_folder.join(table, "part").join(F.broadcast(inside), ["part", "shard"])
-    return placed.select((F.col("part_start") + F.col("shard_start")).alias("start"), "payload").mapInArrow(_decode, TOKENS)
+    sums = cut(docs_folder.select("part", "shard", "n_tokens"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # parts in order are summed in two levels: within groups of GROUP parts, then over the groups, one row for 1000 parts
+    group = F.floor(F.col("part") / GROUP).alias("group")
+    parts = sums.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", group, "n")
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("group_start"))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")).join(groups, "group")
+    shards = sums.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("shard_start")).join(parts, "part")
+    starts = shards.select("part", "shard", (F.col("group_start") + F.col("part_start") + F.col("shard_start")).alias("start"))
+    return docs_folder.join(starts, ["part", "shard"]).select("start", "payload").mapInArrow(_decode, TOKENS)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

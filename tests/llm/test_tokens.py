@@ -30,7 +30,6 @@ def test_wavelet_round_trip(n, top, levels):
 
 
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def plain(text):
@@ -39,7 +38,7 @@ def plain(text):
 
 def test_pieces_equal_the_library():
     rng = random.Random(1)
-    bits = ["the", "é", "𝄞", " ", "  ", "\n", "\t", " \n", "'s", "12", "a1!", "...", " ", "　", "<|endoftext|>", "don't", "\x1c", "\x85", "a.", "x,", "!.", "_.", "\x02", ".\x02", "​", "ция"]
+    bits = ["the", "é", "𝄞", " ", "  ", "\n", "\t", " \n", "'s", "12", "a1!", "...", " ", "　", "<|endoftext|>", "a <|endoftext|> b", "don't", "\x1c", "\x85", "a.", "x,", "!.", "_.", "\x02", ".\x02", "​", "ция"]
     texts = ["", " ", "a ", " a", "a  b", "\n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(600)] + [" ".join(rng.choice(bits) for _ in range(20)) for _ in range(200)]
     encoder = token_files.Encoder(PATH)
     for text, got in zip(texts, encoder.encode(texts), strict=True):
@@ -48,12 +47,18 @@ def test_pieces_equal_the_library():
 
 def test_files_read_back(spark, monkeypatch):
     monkeypatch.setattr(token_files, "PART_BYTES", 2000)
-    rows = [(i * 37 % 101, f"Text number {i}, of words " * (i % 9), "x") for i in range(101)] + [(None, "no id", None), (7, None, None), (200, "long text " * 20000, None), (201, "", "")]
+    rows = [(i * 37 % 101, f"Text number {i}, of words " * (i % 9), "x") for i in range(101)] + [(None, "no id", None), (200, "long text " * 20000, None), (201, "", ""), (7, None, None), (7, "same id", None), (7, "same id", "x"), (7, "another", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
     got = token_files.token_files(df, PATH).orderBy("start").collect()
-    want = [(i, [*plain(t), 0]) for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))]
-    at = 0
-    for r, (i, ids) in zip(got, want, strict=True):
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    want, at = {}, 0
+    for i, t, _ in rows:
+        ids = [*plain(t), 0]
+        want.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert [r.doc_id for r in got] == sorted((i for i, *_ in rows), key=lambda i: (i is not None, i or 0))
+    for r in got:
+        assert r.start == at
+        want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
+        at += r.n_tokens
+    again = token_files.token_files(df.repartition(2), PATH).orderBy("start").collect()
+    assert again == got  # rows that share an id included
     assert token_files.token_files(df.limit(0), PATH).count() == 0
