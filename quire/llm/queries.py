@@ -68,12 +68,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 @REGISTRY.add("op1_mix_sources")
 def op1_mix_sources(spark, sf_dir):
-    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    copies = F.size("mix.shards")
-    return rows.select(
-        "doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"),
-        (F.col("mix.size") * copies).cast("long").alias("taken"), copies.alias("copies"),
-    )
+    return mixing.drawn_counts(table(spark, sf_dir, "documents"))
 
 
 @REGISTRY.add("op5_decontaminate")
