@@ -19,6 +19,9 @@ UNITS = (
     "percent dollar dollars euro euros cent cents usd eur gbp kb mb gb tb hz khz mhz ghz w kw mw v kv kwh mph kph degrees"
 ).split()
 
+#: Words put in or left out between two parts of a passage that still count together.
+SHIFT = 8
+
 NUMBER, NAME, UNIT = 1, 2, 3
 # classes of a word's bytes: digits, punctuation of numbers, letters and all else
 _DIGIT, _POINT, _LETTER, _JUNK = 1, 2, 4, 0
@@ -142,26 +145,37 @@ def _matches(t: Templates, b: Benchmark, least: float, run: int, literal: bool =
     shift = at - there
     order = np.lexsort((at, shift, item, row))
     at, there, item, row, shift, bare = at[order], there[order], item[order], row[order], shift[order], bare[order]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])])
+    pair = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
+    new = pair | np.concatenate([[True], shift[1:] != shift[:-1]])
     first = np.append(np.flatnonzero(new), len(at))
-    for a, z in zip(first, first[1:], strict=False):
-        length = int(b.lengths[item[a]])
-        width = min(b.width, length)
-        rel = there[a:z] - b.base[item[a]]
-        covered = _covered(rel, width, length)
-        if not _enough(covered, length, least, run):
-            continue
-        mine, theirs = covered + b.base[item[a]], covered + b.base[item[a]] + shift[a]
-        slots = b.slot[mine] > 0
-        x, y = b.literal[mine][slots], t.literal[theirs][slots]
-        if len(x):  # a value of the item must always stand for one value of the text, and the other way round
-            pairs = len(np.unique(np.stack([x, y]), axis=1).T)
-            if pairs != len(np.unique(x)) or pairs != len(np.unique(y)):
-                said = _covered(rel[bare[a:z]], width, length) if literal else covered[:0]
-                if _enough(said, length, least, run):  # enough without any placeholder
-                    yield int(row[a]), int(item[a]), len(said), length, 0
-                continue
-        yield int(row[a]), int(item[a]), len(covered), length, int((x != y).sum())
+    near = pair | np.concatenate([[True], shift[1:] > shift[:-1] + SHIFT])  # passages of one item that words were put into or left out of
+    for a, z in zip(np.flatnonzero(near).tolist(), [*np.flatnonzero(near)[1:].tolist(), len(at)], strict=True):
+        inside = first[(first >= a) & (first < z)].tolist()
+        best = None
+        for lo, hi in [*zip(inside, [*inside[1:], z], strict=True), *([(a, z)] if len(inside) > 1 else [])]:
+            found = _passage(t, b, int(item[a]), there[lo:hi], shift[lo:hi], bare[lo:hi], least, run, literal)
+            best = max(best, found) if best and found else best or found
+        if best:
+            yield int(row[a]), int(item[a]), best[0], int(b.lengths[item[a]]), -best[1]
+
+
+def _passage(t: Templates, b: Benchmark, item: int, there: np.ndarray, shift: np.ndarray, bare: np.ndarray, least: float, run: int, literal: bool) -> tuple[int, int] | None:
+    """(covered words of the item, minus its changed slots) where windows at some offsets make up enough of it."""
+    length, base = int(b.lengths[item]), int(b.base[item])
+    width = min(b.width, length)
+    covered = _covered(there - base, width, length)
+    if not _enough(covered, length, least, run):
+        return None
+    mine = (there[:, None] + np.arange(width)).ravel()
+    theirs = mine + np.repeat(shift, width)
+    slots = b.slot[mine] > 0
+    x, y = b.literal[mine][slots], t.literal[theirs][slots]
+    pairs = np.unique(np.stack([x, y]), axis=1) if len(x) else np.zeros((2, 0), W.U64)
+    # a value of the item must always stand for one value of the text, and the other way round
+    if pairs.shape[1] != len(np.unique(x)) or pairs.shape[1] != len(np.unique(y)):
+        said = _covered(there[bare] - base, width, length) if literal else covered[:0]
+        return (len(said), 0) if _enough(said, length, least, run) else None  # enough without any placeholder
+    return len(covered), -len(np.unique(mine[slots][x != y]))
 
 
 def _covered(starts: np.ndarray, width: int, length: int) -> np.ndarray:
@@ -208,8 +222,9 @@ def contaminated(
     Texts become templates: bare lower-case words, with placeholders for numbers, units after
     numbers, and names (capitals inside a sentence). Windows of ``width`` template words, at most
     ``most_slots`` of them placeholders, are looked up among the benchmark's by hash, and so are the
-    windows of bare words; an item shorter than a window is one window. Windows of one item at one offset form a passage; it counts if it
-    covers ``least`` of the item's words or ``run`` consecutive ones, and if its slots are consistent:
+    windows of bare words; an item shorter than a window is one window. Windows of one item at one
+    offset form a passage, and so do those at offsets up to ``SHIFT`` words apart from one to the next
+    (words put in or left out); it counts if it covers ``least`` of the item's words or ``run`` consecutive ones, and if its slots are consistent:
     each value of the item stands for one value of the text throughout, and the reverse, so that
     questions with other numbers or names are caught (``changed`` counts replaced slots) and chance
     matches are not. With ``literal`` a passage whose slots are not consistent still counts where its
@@ -217,8 +232,8 @@ def contaminated(
 
     The benchmark goes to the executors in blocks of ``block_items`` items, one pass over the texts
     for each block, so any benchmark fits. Null texts and ids of the benchmark are left out; null and
-    empty texts of ``docs`` have no hits; item texts without words match nothing; repeated items give
-    one hit each by their id. An empty table gives an empty result; a column ``hits`` of ``docs`` is
+    empty texts of ``docs`` have no hits; item texts without words match nothing; items that
+    share an id give one hit, the best, whichever blocks they fall into. An empty table gives an empty result; a column ``hits`` of ``docs`` is
     replaced.
     """
     prepare(docs.sparkSession)
@@ -239,10 +254,13 @@ def _scan(ids: list, texts: list, text_col: str, width: int, least: float, run:
                     best[row, ids[item]] = max(best.get((row, ids[item]), (0, 0, 0)), (covered, words, -changed))
                 at = part.schema.get_field_index("hits")
                 if best:
-                    hits = part.column(at).to_pylist()
-                    for (row, item), (covered, words, changed) in sorted(best.items()):
-                        hits[row] = [*hits[row], {"item": item, "covered": covered, "item_words": words, "changed": -changed}]
-                    part = part.set_column(at, part.schema.field(at), pa.array(hits, part.schema.field(at).type))
+                    hits = [{h["item"]: h for h in row} for row in part.column(at).to_pylist()]
+                    for (row, item), (covered, words, changed) in best.items():
+                        old = hits[row].get(item)
+                        if old is None or (covered, words, changed) > (old["covered"], old["item_words"], -old["changed"]):
+                            hits[row][item] = {"item": item, "covered": covered, "item_words": words, "changed": -changed}
+                    made = [[row[i] for i in sorted(row)] for row in hits]
+                    part = part.set_column(at, part.schema.field(at), pa.array(made, part.schema.field(at).type))
                 yield part
 
     return scan

@@ -39,6 +39,69 @@ def test_decontaminate_planted(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def brute_hits(text, items, width=8, least=0.5, run=13, most_slots=0.5):
+    """Items of a text by plain loops over all offsets, from the same template words."""
+    t = decontaminate.Templates(pa.array([text]))
+    n, found = len(t.token), {}
+    for item, said in items:
+        b = decontaminate.Templates(pa.array([said]))
+        m, w = len(b.token), min(width, len(b.token))
+        if not m:
+            continue
+        spots = []  # (offset, place in the item) of all equal windows
+        for i in range(n - w + 1):
+            for j in range(m - w + 1):
+                bare = (t.literal[i : i + w] == b.literal[j : j + w]).all()
+                slots = int((b.slot[j : j + w] > 0).sum())
+                form = 0 < slots <= most_slots * w and (t.token[i : i + w] == b.token[j : j + w]).all()
+                if bare or form:
+                    spots.append((i - j, j))
+        offsets = sorted({o for o, _ in spots})
+        groups, near = [], []
+        for o in offsets:
+            if near and o > near[-1] + decontaminate.SHIFT:
+                groups.append(near)
+                near = []
+            near.append(o)
+        groups += [near] if near else []
+        for group in groups:
+            for some in [[o] for o in group] + [group]:
+                words = {j + k: None for o, j in spots if o in some for k in range(w)}
+                pairs = {(int(b.literal[j + k]), int(t.literal[o + j + k])) for o, j in spots if o in some for k in range(w) if b.slot[j + k]}
+                longest = max((sum(x + k in words for k in range(m)) if all(x + k in words for k in range(run)) else 0 for x in words), default=0)
+                fits = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+                if fits and (len(words) >= least * m or longest >= run):
+                    found[item] = max(found.get(item, 0), len(words))
+    return found
+
+
+def test_decontaminate_equals_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: rng.choice(VOCAB[:8] + ["Anna", "Paul", "Rome", "3", "40", "km", "hours", "12.5"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([5, 12, 20, 36])))) for i in range(12)]
+    docs = []
+    for i in range(150):
+        said = items[rng.randrange(12)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 3])):  # words put in, left out and changed
+            k = rng.randrange(len(said))
+            said[k : k + rng.choice([0, 1])] = rng.choice([[], [word()], [word(), word()]])
+        docs.append((i, f"{prose(rng, 15)}. {' '.join(said[rng.choice([0, 0, 4]) :])} {prose(rng, 15)} {' '.join(word() for _ in range(12))}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: {h.item: h.covered for h in r.hits} for r in decontaminate.contaminated(df, bench, block_items=5).collect()}
+    want = {i: brute_hits(t, items) for i, t in docs}
+    assert got == want and 20 < sum(map(bool, want.values())) < 150
+
+
+def test_repeated_items_and_blocks(spark):
+    """Two texts under one id: the same hits wherever a block ends; ties and repeated rows count alike."""
+    a, b = "one two three four five six seven eight nine ten", "red blue green black white brown pink grey gold plum"
+    bench = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"{a} and {b}", None), (1, f"{a} and {b}", None), (2, b, None), (None, a, None)], "doc_id long, text string, item string")
+    got = [sorted((str(r.doc_id), [(h.item, h.covered) for h in r.hits]) for r in decontaminate.contaminated(df, bench, block_items=k).collect()) for k in (1, 2, 3, 100)]
+    assert got[0] == got[1] == got[2] == got[3] == [("1", [(1, 10), (2, 10)])] * 2 + [("2", [(1, 10), (2, 10)]), ("None", [(1, 10)])]
+
+
 def graded(rng, n):
     texts, grades = [], []
     for _ in range(n):
