@@ -180,37 +180,59 @@ def _quotas(counts: dict[int, int], most: int) -> dict[int, int]:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """At most ``MAX_TRAIN`` labelled texts with grades, one of each group with the same rarest word windows.
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts as (order, grade, key, words): the key is the smallest window hash, null for short texts."""
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            words = W.Words(*W.text_buffer(part.column("text")))
+            windows = W.window_hashes(words.hashes(), 5) if words.offsets[-1] >= 5 else np.zeros(0, W.U64)
+            keys = [int(windows[a : b - 4].min()) - (1 << 63) if b - a >= 5 else None for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)]
+            hashes, row = word_hashes(part.column("text"))
+            order = np.lexsort((hashes, row))
+            hashes, row = hashes[order], row[order]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, bool)
+            hashes, ends = hashes[new], np.searchsorted(row[new], np.arange(part.num_rows + 1))
+            lists = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [part.column("order"), part.column("grade"), pa.array(keys, pa.int64()), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["order", "grade", "key", "words"])
+
+
+def _listed(lists: list[bytes]) -> Features:
+    """Features of rows whose words are known as lists of distinct hashes."""
+    hashes = np.concatenate([np.frombuffer(x, W.U64) for x in lists]) if lists else np.zeros(0, W.U64)
+    vocabulary, slot = np.unique(hashes, return_inverse=True)
+    return Features(vocabulary, slot, np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]), len(lists))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str) -> tuple[Features, np.ndarray, np.ndarray]:
+    """At most ``MAX_TRAIN`` labelled rows with grades, one of each group with the same rarest word windows.
 
     The labels are drawn by grade, so that rare grades stay whole; the third result says how many
     labels each row stands for. Near copies of one labelled text would make its accidental words look
-    like evidence; texts whose smallest window hash is equal are taken once.
+    like evidence; texts whose smallest window hash is equal are taken once. Texts stay on the
+    executors; the driver gets the hashes of their words.
     """
+    none = Features(np.zeros(0, W.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0), np.zeros(0, np.int64), np.zeros(0)
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade"))
     counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}  # one row per grade
     if not counts:
-        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0)
+        return none
     quotas = _quotas(counts, MAX_TRAIN)
     parts = [known.where(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(n) for g, n in quotas.items()]
     known = F.broadcast(reduce(DataFrame.unionByName, parts))  # so the texts stay where they are
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(known, "_id")
-    some = rows.orderBy(F.xxhash64("_id"), "_id", "text", "grade").limit(MAX_TRAIN).select("text", "grade").toArrow()
+    rows = rows.select(F.xxhash64(F.xxhash64("_id"), "text").alias("order"), "grade", "text").mapInArrow(_sampled, "order long, grade int, key long, words binary")
+    some = rows.orderBy("order", "grade").limit(MAX_TRAIN).toArrow()
     if not some.num_rows:
-        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0)
-    column = some.column("text").combine_chunks()
-    words = W.Words(*W.text_buffer(column))
-    hashes = words.hashes()
-    windows = W.window_hashes(hashes, 5) if len(hashes) >= 5 else np.zeros(0, W.U64)
+        return none
     seen, keep = set(), []
-    for i in range(some.num_rows):
-        a, b = words.offsets[i], words.offsets[i + 1]
-        key = int(windows[a : b - 4].min()) if b - a >= 5 else (i, "short")
-        if key not in seen:
+    for i, key in enumerate(some.column("key").to_pylist()):
+        if key is None or key not in seen:
             seen.add(key)
             keep.append(i)
-    grades = some.column("grade").to_numpy()[keep].astype(np.int64)
-    return column.take(pa.array(keep)), grades, np.array([counts[g] / quotas[g] for g in grades.tolist()])
+    some = some.take(pa.array(keep))
+    grades = some.column("grade").to_numpy().astype(np.int64)
+    return _listed(some.column("words").to_pylist()), grades, np.array([counts[g] / quotas[g] for g in grades.tolist()])
 
 
 def severity_grades(f: Features, toxic: np.ndarray) -> np.ndarray:
@@ -255,6 +277,6 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", graded: bool = False) -> OrdinalModel:
     """The model fitted on labelled rows; binary labels are first spread over three grades, unless ``graded``."""
-    texts, marks, shares = training_rows(docs, labels, id_col, text_col, label_col)
-    f = features(texts)
+    prepare(docs.sparkSession)
+    f, marks, shares = training_rows(docs, labels, id_col, text_col, label_col)
     return fit_ordinal(f, marks if graded else severity_grades(f, marks), shares=shares)

@@ -38,8 +38,8 @@ def test_rare_grades_stay_in_the_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_TRAIN", 60)
     docs = spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     labels = spark.range(1000).selectExpr("id AS doc_id", "CAST(id % 100 = 0 AS INT) AS toxic")
-    texts, grades, shares = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")
-    assert len(texts) == 60 and grades.sum() == 10
+    rows, grades, shares = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")
+    assert rows.n_rows == 60 and grades.sum() == 10
     assert np.isclose(shares[grades == 0].sum(), 990) and np.isclose(shares[grades == 1].sum(), 10)
     assert toxicity._quotas({0: 5, 1: 2, 2: 100}, 30) == {1: 2, 0: 5, 2: 23}
     assert toxicity.fit_ordinal(toxicity.features(pa.array([], pa.string())), np.zeros(0, np.int64)).cuts.tolist() == [10.0]
