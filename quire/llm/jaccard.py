@@ -21,10 +21,16 @@ SIGNATURE = 64
 BRANCHING = 2.0
 #: Buckets of a path above this size are split by further tokens.
 BUCKET = 64
-#: Levels of splitting; what is still large after the last is compared through leaders.
-LEVELS = 2
+#: Equal signature values from which a member of a large bucket is a near copy of another one, its leader.
+TIGHT = 58
+#: Similarity that leaders of linked members have at least: the threshold less what each may be apart from its leader.
+SLACK = 0.2
+#: Mean similarity of a bucket's leaders from which further tokens hardly part them; they are compared in tiles.
+DENSE = 0.3
+#: Rows of a salted part of a large bucket, and of one side of a tile of leaders.
+PART = 4096
 #: Members of a candidate group that one task compares at a time.
-TILE = 1024
+TILE = 256
 
 _ODD = W.mix(np.arange(1, SIGNATURE + 1, dtype=W.U64)) | W.U64(1)
 _ADD = W.mix(np.arange(1001, SIGNATURE + 1001, dtype=W.U64))
@@ -33,10 +39,11 @@ _ADD = W.mix(np.arange(1001, SIGNATURE + 1001, dtype=W.U64))
 def runs_for(recall: float) -> int:
     """Runs after which a pair at the threshold has shared a full path with this probability.
 
-    In one run a pair shares a path of k levels with p(k) = 1 - exp(-BRANCHING p(k - 1)), p(0) = 1.
+    In one run a pair shares a path of k levels with p(k) = 1 - exp(-BRANCHING p(k - 1)), p(0) = 1;
+    whatever the number of levels it is above their limit, which is taken here.
     """
     p = 1.0
-    for _ in range(LEVELS):
+    for _ in range(100):
         p = 1 - math.exp(-BRANCHING * p)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
@@ -197,74 +204,85 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-LEADERS = "a long, b long, path long, signature binary"
+LEADERS = "a long, b long, path long, used long, close double, signature binary"
 
 
-def _lead(agree: int):
-    """Large buckets, one salted part after another: members join the first leader they are close to.
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Large buckets, one salted part after another: members join the first leader they are a near copy of.
 
-    Jaccard distance is a metric. Members are within 1 - s of their leader (s: ``agree`` as a share),
-    and so leaders of two linked members are within 2 (1 - s) + 1 - t; all leaders at that
-    similarity are linked in the next step, and no link between members is lost.
+    Rows of joined members are links to their leaders; rows of leaders say how close they are to the
+    leaders of their part before them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders, names, a, b, new = None, np.zeros((0, SIGNATURE), np.uint32), [], [], [], []
-        for batch in batches:
-            paths, salts, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "node"))
-            signatures = _matrix(batch.column("signature"))
-            for i in range(len(nodes)):
-                if (paths[i], salts[i]) != now:
-                    now, leaders, names = (paths[i], salts[i]), np.zeros((0, SIGNATURE), np.uint32), []
-                near = (leaders == signatures[i]).sum(1) if names else np.zeros(0)
-                if names and near.max() >= agree:
-                    a.append(names[int(near.argmax())])
-                    b.append(int(nodes[i]))
-                else:
-                    leaders = np.vstack([leaders, signatures[i]])
-                    names.append(int(nodes[i]))
-                    new.append((names[-1], int(paths[i]), signatures[i].tobytes()))
-            yield _lead_batch(a, b, new)
-            a, b, new = [], [], []
-
-    return run
-
-
-def _lead_batch(a: list, b: list, new: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    rows = [(x, y, None, None) for x, y in zip(a, b, strict=True)] + [(n, None, p, s) for n, p, s in new]
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "path", "signature"])
+    now, leaders, names = None, np.zeros((PART * 2, SIGNATURE), np.uint32), []
+    for batch in batches:
+        paths, salts, nodes, used = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "salt", "node", "used"))
+        signatures = _matrix(batch.column("signature"))
+        rows = []
+        for i in range(len(nodes)):
+            if (paths[i], salts[i]) != now:
+                now, names = (paths[i], salts[i]), []
+            near = (leaders[: len(names)] == signatures[i]).sum(1)
+            if names and near.max() >= TIGHT:
+                rows.append((names[int(near.argmax())], int(nodes[i]), None, None, None, None))
+                continue
+            if len(names) == len(leaders):
+                leaders = np.concatenate([leaders, np.zeros_like(leaders)])
+            leaders[len(names)] = signatures[i]
+            rows.append((int(nodes[i]), None, int(paths[i]), int(used[i]), float(near.mean()) / SIGNATURE if names else None, signatures[i].tobytes()))
+            names.append(int(nodes[i]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in LEADERS.split(", ")])
+
+
+def _tile_pairs(rows: DataFrame, size: int) -> DataFrame:
+    """(path, node, signature) of every pair of parts of a bucket, the pair as path; ``rows`` has (path, members, node, signature)."""
+    parts = F.ceil(F.col("members") / size).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "node", "signature")
+
+
+def _compared(rows: DataFrame, agree: int) -> DataFrame:
+    """Links of the members of each path, by brute force on their signatures."""
+    return rows.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_brute_force(agree), EDGES)
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(a, b): links between nodes that may reach the threshold, from chosen paths.
 
     ``nodes`` has (node, signature). Each run splits the nodes by the tokens that their path picks
-    from their signatures; buckets of two to ``BUCKET`` are compared by brute force on signatures,
-    larger ones split further. Buckets still large after ``LEVELS`` levels are those of large groups
-    of near copies; they go through leaders, in salted parts. Runs repeat until a pair at the
-    threshold is found with probability ``recall``.
+    from their signatures; buckets of two to ``BUCKET`` are compared by brute force on signatures.
+    In a larger bucket near copies are linked to a leader first, in salted parts, as no token would
+    part them; what is then still large is split by further tokens, as long as there are such buckets,
+    but for leaders so close to each other that tokens part them as little: those are compared in tiles.
+    Linked members are near their leaders, so that leaders are compared, and choose tokens, at a
+    similarity lower by ``SLACK``. Runs repeat until a pair at the threshold is found with
+    probability ``recall``.
     """
-    agree, edges = _agree(threshold), []
     signatures = nodes.select("node", "signature")
+    loose = threshold - SLACK
     rows = signatures.mapInArrow(_roots(runs_for(recall), threshold), PATHS)
-    for level in range(1, LEVELS + 1):
+    edges, agree, level = [], _agree(threshold), 0
+    while True:
+        level += 1
         rows = written(rows, f"paths{level}")
         sizes = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        shared = written(rows.join(sizes, "path").join(signatures, "node"), f"buckets{level}")
-        small = shared.where(F.col("members") <= BUCKET).select("path", "node", "signature")
-        edges.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force(agree), EDGES))
+        shared = rows.join(sizes, "path")
+        shared = written(shared if "signature" in rows.columns else shared.join(signatures, "node"), f"buckets{level}")
+        edges.append(_compared(shared.where(F.col("members") <= BUCKET).select("path", "node", "signature"), agree))
         large = shared.where(F.col("members") > BUCKET)
-        if level < LEVELS:
-            rows = large.select("path", "node", "used", "signature").mapInArrow(_children(threshold), PATHS)
-    salted = large.select("path", "node", "signature", "members").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(4 * TILE))))
-    lead = written(salted.select("path", "salt", "node", "signature").repartition("path", "salt").sortWithinPartitions("path", "salt", "node").mapInArrow(_lead(agree), LEADERS), "leaders")
-    heads = lead.where("b is null").select("path", F.col("a").alias("node"), "signature")
-    far = 1 - (2 * (1 - agree / SIGNATURE) + 1 - threshold)
-    loose = max(1, int(SIGNATURE * far - 2 * math.sqrt(SIGNATURE) / 2))
-    edges.append(lead.where("b is not null").select("a", "b"))
-    edges.append(heads.repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force(loose), EDGES))
+        if not large.limit(1).count():
+            break
+        salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / PART))).select("path", "salt", "node", "used", "signature")
+        lead = written(salted.repartition("path", "salt").sortWithinPartitions("path", "salt", "node").mapInArrow(_lead, LEADERS), f"leaders{level}")
+        edges.append(lead.where("b is not null").select("a", "b"))
+        heads = lead.where("b is null").select("path", F.col("a").alias("node"), "used", "signature", "close")
+        about = heads.groupBy("path").agg(F.count("*").alias("members"), F.avg("close").alias("close")).where("members > 1")
+        heads = heads.drop("close").join(about, "path")
+        agree = _agree(loose)
+        few = (F.col("members") <= BUCKET) | (F.col("close") >= DENSE)
+        edges.append(_compared(_tile_pairs(heads.where(few), PART // 4), agree))
+        rows = heads.where(~few).select("path", "node", "used", "signature").mapInArrow(_children(loose), PATHS)
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)
@@ -380,7 +398,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that a row is linked with, copies included (``n_copies``: rows with its set, itself included), and
     ``class_id`` is the smallest id of the rows connected by links. Candidates come from chosen paths
     at the stated ``recall``; their similarities are exact, and all pairs within a candidate group are
-    compared, in tiles, without being emitted.
+    compared, in tiles, without being emitted; the tiles of a group of n different near copies are
+    (n / ``TILE``)^2 / 2, as the number of its links asks for.
 
     Null and empty texts have no shingles: they form classes of their own with no links. A row with
     a null id is compared like any other; where no row of a class has an id, class_id is null. Rows
@@ -412,7 +431,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = dealt.select(
         "node", "component", "copies", "set",
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        F.when(F.col("members") > TILE // 8, F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
+        F.when(F.col("members") > TILE // 4, F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
         .otherwise(F.pmod(F.xxhash64("component"), F.lit(max(64, classes.count() // 2000)))).alias("tile"),
     )
     found = written(dealt.groupBy("tile").applyInArrow(_verify(threshold), VERIFIED), "verified")
