@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.spans import positions
 from quire.llm.store import cut, written
 
 START, BODY, END = "<|start|>", "<|text|>", "<|end|>"
@@ -109,29 +110,10 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.withColumn("parts", parts).drop("turns")
-    tail = len(END)
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["text"]) + tail).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(p["head"])).alias("start"),
-                            (a["at"] + F.length(p["head"]) + F.length(p["text"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+    gap = lambda p, i: F.length(p["head"]) + F.when(i > 0, len(END)).otherwise(0)
+    steps = F.transform("parts", lambda p, i: F.struct(gap(p, i).alias("gap"), F.length(p["text"]).alias("len")))
+    spans = F.filter(F.zip_with(positions(steps), "parts", lambda s, p: F.struct(s.alias("span"), p["loss"].alias("loss"))), lambda x: x["loss"])
+    spans = F.transform(spans, lambda x: F.struct(x["span"]["start"].cast("long").alias("start"), x["span"]["end"].cast("long").alias("end")))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
     return rows.select("tree", "branch", formatted.alias("formatted"), spans.alias("loss"))
 

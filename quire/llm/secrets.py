@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.spans import let, positions
+
 #: kind -> (pattern, group whose length counts, least length); letters of the keywords in either case.
 #: A run that is too short cannot hold a longer one, so only ``assign``, whose failing matches use up text, needs a test of its own.
 BASE = {
@@ -110,54 +112,11 @@ def identifier_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.select(ordinary_form(F.col("word")).alias("token"), F.lit(False).alias("random"))
 
 
-def _steps(pieces: Column, matches: Column) -> Column:
-    """For every match the text before it, from the last one on, and its own length."""
-    return F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len")))
-
-
-def _positions(steps: Column, kind: int) -> Column:
-    """Spans of all matches from their steps.
-
-    Steps are dealt into blocks of the root of their number: appending copies an array, so the work is
-    the number times its root, not its square.
-    """
-    return _let(steps, lambda all_steps: _let(_blocks(all_steps), lambda blocks: _block_spans(blocks, kind)))
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once; in a lambda it would be once per element."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _blocks(steps: Column) -> Column:
-    n = F.size(steps)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    count = F.greatest(F.lit(1), F.ceil(n / width).cast("int"))
-    return F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(steps, (i - 1) * width + 1, width))
-
-
-def _block_spans(blocks: Column, kind: int) -> Column:
-    whole = lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + s["gap"] + s["len"])
-
-    def span(a: Column, s: Column) -> Column:
-        start = a["at"] + s["gap"]
-        return F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + s["len"]).alias("end")))
-
-    def inner(block: Column, at: Column) -> Column:
-        zero = F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-        grow = lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["spans"], span(a, s)).alias("spans"))
-        return F.aggregate(block, zero, grow, lambda a: a["spans"])
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        blocks, begin, lambda a, b: F.struct((a["at"] + whole(b)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"]
-    )
-    return F.flatten(F.zip_with(blocks, starts, inner))
-
-
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points."""
-    return _positions(_steps(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)), kind)
+    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    steps = let(matches, lambda found: F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"))))
+    return F.transform(positions(steps), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _ratio(token: Column, table: Column) -> Column:

@@ -115,6 +115,15 @@ def test_spans_take_time_in_proportion(spark):
 TREE = "tree long, node long, parent long, score double, role string, text string, extra string"
 
 
+def test_columns_with_names_of_the_operator(spark):
+    """Columns named like the operators' own ones are ignored; a long conversation keeps its spans."""
+    turns = [(1, i, "assistant" if i % 2 else "user", f"text {i} & <|", "a", "b", "c", "d", "e", "f") for i in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, position string, above string, at string, total string, branch string, loss string")
+    rows = chat.linear_trees(df).withColumns({c: F.lit("x") for c in ("position", "above", "at", "total", "branch", "_above", "gain")})
+    out = chat.format_trees(rows).select(chat.loss_text(F.col("formatted"), F.col("loss")).alias("t")).first()
+    assert out.t == "".join(f"text {i} & <|" for i in range(1, 3000, 2))
+
+
 def test_reply_trees_rank_branches_and_round_trip(spark):
     rows = [
         (1, 10, None, 0.0, "user", "q", None), (1, 11, 10, 1.0, "assistant", "good <|end|> &lt; &amp;", None), (1, 12, 10, 0.5, "assistant", "bad", None),
