@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
+from quire.llm.blas import one_thread
 from quire.llm.components import components
 from quire.llm.store import prepare, written
 
@@ -320,6 +321,7 @@ def _verify(threshold: float):
     """Exact comparison of the members of a tile, or of each of several small groups."""
 
     def verify(table):
+        one_thread()
         group = table.column("component").to_numpy()
         order = np.argsort(group, kind="stable")
         table, group = table.take(pa.array(order)), group[order]
