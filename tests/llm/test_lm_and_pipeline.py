@@ -69,7 +69,9 @@ def test_scores_equal_brute_force(spark, bits, monkeypatch):
     assert means["None"] is None and means["5000"] is None
 
 
-def test_layout_does_not_matter(spark):
+def test_layout_does_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_BYTES", 20_000)  # a tree of several levels
+    monkeypatch.setattr(P, "FAN_IN", 3)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     layouts = [docs.coalesce(1), docs.repartition(7), docs.repartition(2, "source")]
     one, *others = (sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in P.score(d, P.train(d)).collect()) for d in layouts)
