@@ -29,7 +29,9 @@ SLACK = 0.2
 #: Mean similarity of a bucket's leaders from which further tokens hardly part them; they are compared in tiles.
 DENSE = 0.3
 #: Rows of a salted part of a large bucket, and of one side of a tile of leaders.
-PART = 4096
+PART = 512
+#: Leaders of a bucket that one task splits further by itself; more take further exchanges.
+LOCAL = 8192
 #: Members of a candidate group that one task compares at a time.
 TILE = 256
 
@@ -158,8 +160,8 @@ def _agree(threshold: float) -> int:
     return int(SIGNATURE * threshold - 3.5 * math.sqrt(SIGNATURE * threshold * (1 - threshold)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(nodes, signatures) of each path in rows sorted by path."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, signatures) of each path in rows sorted by path."""
     left = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
@@ -167,32 +169,64 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         edges = np.flatnonzero(paths[1:] != paths[:-1]) + 1
         last = int(edges[-1]) if len(edges) else 0
         if last:
-            nodes, signatures = table.column("node").to_numpy(), _matrix(table.slice(0, last).column("signature"))
+            signatures = _matrix(table.slice(0, last).column("signature"))
             for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True):
-                yield nodes[a:b], signatures[a:b]
+                yield table.slice(a, b - a), signatures[a:b]
         left = table.slice(last)
     if left is not None and left.num_rows:
-        yield left.column("node").to_numpy(), _matrix(left.column("signature"))
+        yield left, _matrix(left.column("signature"))
+
+
+def _stars(nodes: np.ndarray, signatures: np.ndarray, agree: int, a: list, b: list) -> None:
+    """Compares every pair of signatures, and links what is connected to its smallest node."""
+    root = np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        same = np.flatnonzero((signatures[i + 1 :] == signatures[i]).sum(1) >= agree) + i + 1
+        if len(same) and (root[same] != root[i]).any():
+            joined = np.unique(root[np.append(same, i)])
+            root[np.isin(root, joined)] = joined[0]
+    for r in np.flatnonzero(np.bincount(root) > 1):
+        group = nodes[root == r]
+        least = int(group.min())
+        a += [least] * (len(group) - 1)
+        b += group[group != least].tolist()
 
 
 def _brute_force(agree: int):
-    """Edges of small buckets: every pair of signatures is compared, and what is connected linked to its smallest node."""
+    """Links of small buckets and of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for rows, signatures in _groups(batches):
+            _stars(rows.column("node").to_numpy(), signatures, agree, a, b)
+            if len(a) > 50_000:
+                yield _edges(a, b)
+                a, b = [], []
+        yield _edges(a, b)
+
+    return run
+
+
+def _split(agree: int, threshold: float):
+    """Links of the leaders of large buckets: split by further tokens until what is left is small or dense, level by level in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for nodes, signatures in _groups(batches):
-            root = np.arange(len(nodes))
-            for i in range(len(nodes) - 1):
-                same = np.flatnonzero((signatures[i + 1 :] == signatures[i]).sum(1) >= agree) + i + 1
-                if len(same):
-                    joined = np.unique(root[np.append(same, i)])
-                    root[np.isin(root, joined)] = joined[0]
-            for r in np.unique(root):
-                group = nodes[root == r]
-                if len(group) > 1:
-                    least = int(group.min())
-                    a += [least] * (len(group) - 1)
-                    b += group[group != least].tolist()
+        for rows, signatures in _groups(batches):
+            nodes = rows.column("node").to_numpy()
+            at, path, used = np.arange(len(nodes)), rows.column("path").to_numpy(), rows.column("used").to_numpy()
+            while len(at):
+                order = np.argsort(path, kind="stable")
+                at, path, used = at[order], path[order], used[order]
+                edges = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
+                on = np.zeros(len(at), bool)
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if hi - lo > BUCKET and _close(signatures[at[lo:hi]]) < DENSE:
+                        on[lo:hi] = True
+                    elif hi - lo > 1:
+                        _stars(nodes[at[lo:hi]], signatures[at[lo:hi]], agree, a, b)
+                row, path, used = _chosen(signatures[at[on]], path[on], used[on], threshold)
+                at = at[on][row]
             if len(a) > 50_000:
                 yield _edges(a, b)
                 a, b = [], []
@@ -201,6 +235,13 @@ def _brute_force(agree: int):
     return run
 
 
+def _close(signatures: np.ndarray) -> float:
+    """Mean share of equal values of two different rows, from how often each value stands in its column."""
+    n = len(signatures)
+    same = sum(int((np.unique(column, return_counts=True)[1].astype(np.int64) ** 2).sum()) - n for column in signatures.T)
+    return same / (SIGNATURE * n * (n - 1))
+
+
 def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -254,11 +295,12 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
     ``nodes`` has (node, signature). Each run splits the nodes by the tokens that their path picks
     from their signatures; buckets of two to ``BUCKET`` are compared by brute force on signatures.
     In a larger bucket near copies are linked to a leader first, in salted parts, as no token would
-    part them; what is then still large is split by further tokens, as long as there are such buckets,
-    but for leaders so close to each other that tokens part them as little: those are compared in tiles.
-    Linked members are near their leaders, so that leaders are compared, and choose tokens, at a
-    similarity lower by ``SLACK``. Runs repeat until a pair at the threshold is found with
-    probability ``recall``.
+    part them; its leaders are split by further tokens for as long as there are more than ``BUCKET``
+    in a bucket, but for those so close to each other that tokens hardly part them, which are compared
+    with each other. Up to ``LOCAL`` leaders are split in one task, more by further exchanges, and
+    dense ones in tiles. Linked members are near their leaders, so that leaders are compared, and
+    choose tokens, at a similarity lower by ``SLACK``. Runs repeat until a pair at the threshold is
+    found with probability ``recall``.
     """
     signatures = nodes.select("node", "signature")
     loose = threshold - SLACK
@@ -268,8 +310,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         level += 1
         rows = written(rows, f"paths{level}")
         sizes = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        shared = rows.join(sizes, "path")
-        shared = written(shared if "signature" in rows.columns else shared.join(signatures, "node"), f"buckets{level}")
+        shared = written(rows.join(sizes, "path").join(signatures, "node"), f"buckets{level}")
         edges.append(_compared(shared.where(F.col("members") <= BUCKET).select("path", "node", "signature"), agree))
         large = shared.where(F.col("members") > BUCKET)
         if not large.limit(1).count():
@@ -281,9 +322,13 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         about = heads.groupBy("path").agg(F.count("*").alias("members"), F.avg("close").alias("close")).where("members > 1")
         heads = heads.drop("close").join(about, "path")
         agree = _agree(loose)
-        few = (F.col("members") <= BUCKET) | (F.col("close") >= DENSE)
-        edges.append(_compared(_tile_pairs(heads.where(few), PART // 4), agree))
-        rows = heads.where(~few).select("path", "node", "used", "signature").mapInArrow(_children(loose), PATHS)
+        some = heads.where(F.col("members") <= LOCAL).select("path", "node", "used", "signature")
+        edges.append(some.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_split(agree, loose), EDGES))
+        if not about.where(F.col("members") > LOCAL).limit(1).count():
+            break
+        many, dense = F.col("members") > LOCAL, F.coalesce(F.col("close"), F.lit(0.0)) >= DENSE
+        edges.append(_compared(_tile_pairs(heads.where(many & dense), PART), agree))
+        rows = heads.where(many & ~dense).select("path", "node", "used", "signature").mapInArrow(_children(loose), PATHS)
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)

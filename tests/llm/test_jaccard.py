@@ -65,10 +65,12 @@ def test_leaders_keep_links(spark, monkeypatch):
     assert jaccard.near_dedup(df).count() == len({c for _, c, _ in got})
 
 
-def test_a_passage_that_many_dissimilar_texts_share_is_split_further(spark, monkeypatch):
+@pytest.mark.parametrize("local", [20, 8192])
+def test_a_passage_that_many_dissimilar_texts_share_is_split_further(spark, local, monkeypatch):
     """400 texts that share a third of their words beside near copies: no bucket of all of them is compared as a whole."""
     monkeypatch.setattr(jaccard, "BUCKET", 8)
     monkeypatch.setattr(jaccard, "PART", 64)
+    monkeypatch.setattr(jaccard, "LOCAL", local)
     rng = random.Random(3)
     shared = " ".join(f"legal{i}" for i in range(25))
     rows = []
@@ -76,7 +78,8 @@ def test_a_passage_that_many_dissimilar_texts_share_is_split_further(spark, monk
         own = [f"w{rng.randrange(10**6)}" for _ in range(50)]
         rows += [(2 * i, f"{shared} {' '.join(own)}"), (2 * i + 1, f"{shared} {' '.join(own[:-1])} end")][: 2 if i % 10 == 0 else 1]
     depth = []
-    monkeypatch.setattr(jaccard, "_children", lambda t, f=jaccard._children: depth.append(t) or f(t))
+    name = "_children" if local < 400 else "_split"
+    monkeypatch.setattr(jaccard, name, lambda *t, f=getattr(jaccard, name): depth.append(t) or f(*t))
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
     assert got == brute(rows) and depth
 
