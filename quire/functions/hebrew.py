@@ -6,6 +6,9 @@ in ``POINTS``; accents U+0591-05AF; marks that are punctuation, not points, U+05
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,36 @@ MAQAF = "\u05be"
 FINALS, BASES = "\u05da\u05dd\u05df\u05e3\u05e5", "\u05db\u05de\u05e0\u05e4\u05e6"
 
 
+#: Presentation forms that normalization (NFC) writes as letters and points.
+PRESENTATION = {chr(c): unicodedata.normalize("NFC", chr(c)) for c in range(0xFB1D, 0xFB50) if unicodedata.normalize("NFC", chr(c)) != chr(c)}
+
+
+def normalized(text: Column) -> Column:
+    """Hebrew presentation forms as letters and points; the rest is taken as composed already."""
+    plain = reduce(lambda out, form: F.replace(out, F.lit(form[0]), F.lit(form[1])), PRESENTATION.items(), text)
+    return F.when(text.rlike("[\ufb1d-\ufb4f]"), plain).otherwise(text)
+
+
+def is_letter(character: Column) -> Column:
+    return character.rlike(f"^[{LETTERS}]$")
+
+
+def is_final(character: Column) -> Column:
+    return character.rlike(f"^[{FINALS}]$")
+
+
+def is_point(character: Column) -> Column:
+    return character.rlike(f"^[{POINTS}]$")
+
+
+def is_vowel(character: Column) -> Column:
+    return character.rlike(f"^[{VOWELS}]$")
+
+
+def is_accent(character: Column) -> Column:
+    return character.rlike(f"^[{ACCENTS}]$")
+
+
 def strip_accents(text: Column) -> Column:
     return F.regexp_replace(text, f"[{ACCENTS}]", "")
 
@@ -36,7 +69,18 @@ def strip_punctuation(text: Column) -> Column:
 
 
 def for_speech(text: Column) -> Column:
-    return strip_punctuation(strip_accents(text))
+    return strip_punctuation(strip_accents(normalized(text)))
+
+
+def syllables(word: Column) -> Column:
+    """Estimate: letters with a full vowel or a hataf, and vavs with a dot alone."""
+    full = F.regexp_count(word, F.lit("[\u05b1-\u05bb\u05c7]"))
+    shuruq = F.regexp_count(word, F.lit("\u05d5(?=\u05bc)(?![\u0591-\u05bb\u05bd\u05bf\u05c1\u05c2\u05c7]*[\u05b0-\u05bb\u05c7])"))
+    return full + shuruq
+
+
+def has_meteg(word: Column) -> Column:
+    return word.contains("\u05bd")
 
 
 def base_letters(text: Column) -> Column:

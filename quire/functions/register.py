@@ -12,10 +12,18 @@ DOTTED = "ḥṭṣẓḳ"
 ASHKENAZI_ENDS, SEPHARDI_ENDS = r"\b[A-Za-z]{2,}(?:os|us)\b", r"\b[A-Za-z]{2,}ot\b"
 
 
+def _patterns(markers: dict[str, int]) -> dict[int, str]:
+    """Weight -> one pattern for all markers of that weight."""
+    bodies: dict[int, list[str]] = {}
+    for marker, weight in markers.items():
+        bodies.setdefault(weight, []).append(marker[:-1] if marker.endswith("*") else rf"{marker}\b")
+    return {weight: rf"(?iu)\b(?:{'|'.join(some)})" for weight, some in bodies.items()}
+
+
 def _score(text: Column, markers: dict[str, int], ends: str) -> Column:
+    """Weighted markers and endings; markers of one weight share a pass, as no two can begin at the same place."""
     total = F.regexp_count(text, F.lit(ends))
-    for marker, weight in markers.items():
-        pattern = rf"(?iu)\b{marker[:-1]}" if marker.endswith("*") else rf"(?iu)\b{marker}\b"
+    for weight, pattern in _patterns(markers).items():
         total = total + F.regexp_count(text, F.lit(pattern)) * weight
     return total
 
@@ -23,10 +31,14 @@ def _score(text: Column, markers: dict[str, int], ends: str) -> Column:
 def scores(text: Column) -> tuple[Column, Column]:
     """(Ashkenazi, Sephardi) scores; a null text scores nothing."""
     text = F.coalesce(text, F.lit(""))
-    sephardi = _score(text, SEPHARDI, SEPHARDI_ENDS)
-    for letter in DOTTED:
-        sephardi = sephardi + F.regexp_count(text, F.lit(f"(?iu){letter}"))
-    return _score(text, ASHKENAZI, ASHKENAZI_ENDS), sephardi
+    return _score(text, ASHKENAZI, ASHKENAZI_ENDS), _score(text, SEPHARDI, SEPHARDI_ENDS) + F.regexp_count(text, F.lit(f"(?iu)[{DOTTED}]"))
+
+
+def evidence(text: Column) -> Column:
+    """Words that a text's scores rest on, in order of their place, each once."""
+    markers = "|".join(m[:-1] if m.endswith("*") else rf"{m}\b" for m in [*ASHKENAZI, *SEPHARDI])
+    pattern = rf"(?u)((?i:\b(?:{markers}))|(?i:[{DOTTED}])|{ASHKENAZI_ENDS}|{SEPHARDI_ENDS})"
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1))
 
 
 def register(ashkenazi: Column, sephardi: Column) -> Column:

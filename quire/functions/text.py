@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+from quire.functions.arrays import literal_map
+
+#: Named entities of HTML 5 with their characters, by name; numeric ones are worked out.
+ENTITIES = {name.removesuffix(";"): value for name, value in html.entities.html5.items() if name.endswith(";")}
+#: Names that also hold without their semicolon, as a beginning.
+LEGACY = {name: value for name, value in html.entities.html5.items() if not name.endswith(";")}
+#: Numeric references that stand for characters of code page 1252, and what they mean.
+_C1 = {n: html.unescape(f"&#{n};") for n in range(0x80, 0xA0) if html.unescape(f"&#{n};") != chr(n)}
+
+
+def unescape(text: Column) -> Column:
+    """Entities as characters: named and numeric ones; unknown names stay. Only texts with an ampersand are taken apart."""
+    names, short = literal_map(ENTITIES), literal_map(LEGACY)
+    prefix = "&(" + "|".join(sorted(LEGACY, key=len, reverse=True)) + ")"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(&#[0-9]{{1,7}};?|&#[xX][0-9A-Fa-f]{{1,6}};?|&[A-Za-z][A-Za-z0-9]{{0,31}};|{prefix}|&|[^&]+)"), 1)
+
+    def number(code: Column) -> Column:
+        plain = F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.element_at(literal_map({str(k): v for k, v in _C1.items()}), code.cast("string")), plain)
+
+    def plain(piece: Column) -> Column:
+        inside = F.regexp_extract(piece, "^&#?[xX]?([A-Za-z0-9]+);?$", 1)
+        begin = F.regexp_extract(piece, f"^{prefix}", 1)
+        begun = F.when(begin != "", F.concat(F.element_at(short, begin), F.substr(piece, F.length(begin) + 2, F.length(piece))))
+        return (
+            F.when(~piece.startswith("&"), piece)
+            .when(piece.rlike("^&#[0-9]"), number(inside.cast("long")))
+            .when(piece.rlike("^&#[xX]"), number(F.conv(inside, 16, 10).cast("long")))
+            .otherwise(F.coalesce(F.when(piece.endswith(";"), F.element_at(names, inside)), begun, piece))
+        )
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, plain), "")).otherwise(text)
 
 
 def clean_html(text: Column) -> Column:
-    """Without footnotes and tags; entities plain, white space collapsed."""
-    out = F.regexp_replace(text, r'(?s)<i class="footnote">.*?</i>', "")
-    out = F.regexp_replace(out, "<[^>]*>", " ")
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Without footnotes and tags, which leave nothing behind; entities as characters, white space collapsed."""
+    out = F.regexp_replace(text, r'(?is)<i\s+class="footnote".*?</i>', "")
+    out = unescape(F.regexp_replace(out, "<[^>]*>", ""))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
+def law_date(stamp: Column) -> Column:
+    """The day of a time stamp as stated."""
+    return F.substring(stamp, 1, 10)
 
 
 def provider(source: Column) -> Column:
@@ -39,10 +76,12 @@ def text_skeleton(text: Column) -> Column:
 
 
 def section_number(number: Column) -> Column:
-    """Section numbers on one form: marks, trailing dots and leading zeros dropped, suffix upper."""
-    bare = F.regexp_replace(F.trim(number), r"^(?i)(§|סעיף|section|sec\.?)\s*", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[.\s]+$", ""), r"^0+(?=\d)", "")
-    return F.upper(bare)
+    """Section numbers on one form: marks, trailing dots and leading zeros dropped, suffix upper; other names stay."""
+    wide = F.translate(number, "０１２３４５６７８９．\u00a0", "0123456789. ")
+    bare = F.regexp_replace(F.trim(wide), r"(?i)^(?:§|סעיף|section|sec\.?)\s*", "")
+    bare = F.trim(F.regexp_replace(bare, r"\.+$", ""))
+    form = r"^0*(\d+)\s*([A-Za-zא-ת]{0,2})$"
+    return F.when(bare.rlike(form), F.concat(F.regexp_extract(bare, form, 1), F.upper(F.regexp_extract(bare, form, 2)))).otherwise(bare)
 
 
 def section_order(number: Column) -> tuple[Column, Column]:
@@ -51,9 +90,18 @@ def section_order(number: Column) -> tuple[Column, Column]:
     return F.when(prefix != "", prefix.cast("int")).otherwise(1_000_000), F.regexp_replace(number, r"^\d+", "")
 
 
+#: A word broken at a line's end: only a lower-case letter continues it.
+SOFT_HYPHEN = r"(?U)(\w+)-[ \t]*\n(?:[ \t]*\n)*[ \t]*([a-z]\w*)"
+
+
 def dehyphenate(text: Column) -> Column:
     """Words broken at line ends with a hyphen before a lower-case letter rejoined."""
-    return F.regexp_replace(text, r"(\p{L})-[ \t]*\n[ \t]*(?=\p{Ll})", "$1")
+    return F.regexp_replace(text, SOFT_HYPHEN, "$1$2")
+
+
+def rejoined(text: Column) -> Column:
+    """The words that ``dehyphenate`` joins, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(SOFT_HYPHEN), 0), lambda m: F.regexp_replace(m, SOFT_HYPHEN, "$1$2"))
 
 
 def tidy(text: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import hebrew, register, romanizer, text
+from quire.functions import hebrew, register, text
 from quire.functions.tokens import padded_skeleton
-from quire.operators import graph, witness
+from quire.operators import graph, statutes, witness
 from quire.plans.registry import Registry, table
 from quire.streaming import limits
 
@@ -26,7 +26,7 @@ def verify_benchmark(spark, sf_dir):
     """Benchmark passages quoted verbatim (as token runs) by documents; first matching item wins."""
     docs = table(spark, sf_dir, "documents").select("doc_id", padded_skeleton(F.col("text")).alias("hay"))
     items = table(spark, sf_dir, "benchmark").select("item_id", padded_skeleton(F.col("text")).alias("needle"))
-    hits = witness.contains_run(docs, items, "hay", "needle", width=8)
+    hits = witness.contains_run(docs, items, "hay", "needle", "doc_id", width=8)
     return hits.groupBy("doc_id").agg(F.min("item_id").alias("first_item"), F.count("*").alias("n_items"))
 
 
@@ -68,7 +68,22 @@ def hebrew_strings(spark, sf_dir):
     )
 
 
-@REGISTRY.add("hebrew_runs")
+def _run_rows():
+    """Runs of the golden texts, spelled out by hand."""
+    return [
+        (1, 0, "hebrew", GOLDEN[0][1], ""), (2, 0, "hebrew", GOLDEN[1][1], ""), (3, 0, "hebrew", GOLDEN[2][1].split("־")[0], "־"), (3, 1, "hebrew", GOLDEN[2][1].split("־")[1], ""),
+        (4, 0, "hebrew", GOLDEN[3][1].split(" ")[0], ""), (4, 1, "other", " ", ""), (4, 2, "hebrew", GOLDEN[3][1].split(" ")[1][:-1], ""), (4, 3, "other", "׃", ""),
+        (5, 0, "other", "The word ", ""), (5, 1, "hebrew", "שלום", ""), (5, 2, "other", " means peace.", ""),
+        (7, 0, "hebrew", "ייִדיש", ""), (7, 1, "other", " ", ""), (7, 2, "hebrew", "צ׳", ""),
+    ]
+
+
+@REGISTRY.add(
+    "hebrew_runs",
+    "SELECT CAST(id AS INTEGER) AS id, CAST(position AS INTEGER) AS position, kind, text, \"trailing\" FROM (VALUES "
+    + ", ".join(str(row) for row in _run_rows())
+    + ") AS g(id, position, kind, text, \"trailing\")",
+)
 def hebrew_runs(spark, sf_dir):
     """Runs of Hebrew and other text, in order."""
     rows = spark.createDataFrame(GOLDEN, "id int, t string").select("id", F.posexplode(hebrew.runs(F.col("t"))).alias("position", "run"))
@@ -78,9 +93,10 @@ def hebrew_runs(spark, sf_dir):
 @REGISTRY.add(
     "html_clean",
     r"""
-    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
-             regexp_replace(regexp_replace(html, '(?s)<i class="footnote">.*?</i>', '', 'g'), '<[^>]*>', ' ', 'g'),
-             '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS clean
+    -- tags leave nothing behind; the entities of these pages with and without a semicolon, the ampersand last
+    SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+             regexp_replace(regexp_replace(html, '(?is)<i\s+class="footnote".*?</i>', '', 'g'), '<[^>]*>', '', 'g'),
+             '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'), '^ | $', '', 'g')) AS clean
     FROM pages
     """,
 )
@@ -152,70 +168,68 @@ def reading_joined(spark, sf_dir):
 @REGISTRY.add(
     "align_nations",
     """
-    WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1),
-         b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
-    SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right,
-           CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'matched' END AS status
-    FROM a FULL JOIN b ON a.k = b.k
+    WITH a AS (SELECT 'x' AS doc, c_custkey AS place, c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0),
+         m AS (SELECT CASE WHEN b.k IS NULL THEN 'left_only' ELSE 'matched' END AS status, a.k, a.place FROM a LEFT JOIN b ON a.k = b.k),
+         r AS (SELECT 'right_only' AS status, k, k AS place FROM b WHERE k NOT IN (SELECT k FROM a))
+    SELECT 'x' AS doc, status, CAST(k AS VARCHAR) AS number, CAST(row_number() OVER (PARTITION BY status ORDER BY place) AS INTEGER) AS rank FROM (FROM m UNION ALL FROM r)
     """,
 )
 def align_nations(spark, sf_dir):
-    """Two sides paired on a key, never on position; what has no partner is reported."""
-    left = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("nation"))
-    right = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
-    return witness.align(left, right, "nation")
+    """Two numberings joined on the normal form of their numbers: the left one's order and repeats stay."""
+    said = lambda c: F.format_string("§ %02d.", F.col(c))
+    left = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("x").alias("doc"), F.col("c_custkey").alias("place"), said("c_nationkey").alias("number"))
+    right = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.lit("x").alias("doc"), F.col("s_nationkey").cast("string").alias("number"))
+    return statutes.align(left, right)
 
 
 @REGISTRY.add(
     "reconcile_turns",
     r"""
-    WITH one AS (SELECT turn, conv_id, max(trim(regexp_replace(lower(substr(text, 1, 12)), '\s+', ' ', 'g'))) AS k,
-                        min(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) AS r FROM conversations GROUP BY 1, 2)
-    SELECT turn, count(*) AS witnesses, count(DISTINCT k) AS versions, CAST(min(r) AS BIGINT) AS best_rank,
-           CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT k) = 1 THEN 'confirmed' ELSE 'disputed' END AS status
-    FROM one GROUP BY turn
+    WITH one AS (SELECT turn, conv_id, arg_max(text, text) AS text, CAST(arg_max(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END, text) AS INTEGER) AS r FROM conversations GROUP BY 1, 2),
+         k AS (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k FROM one),
+         b AS (SELECT turn, first(conv_id ORDER BY r, conv_id) AS best, min(r) AS best_rank, count(*) AS witnesses, count(DISTINCT k) AS versions FROM k GROUP BY turn)
+    SELECT turn, witnesses, versions, best, best_rank,
+           CASE WHEN witnesses = 1 THEN 'single' WHEN versions = 1 THEN 'confirmed' ELSE 'disputed' END AS status, witnesses AS n_texts
+    FROM b
     """,
 )
 def reconcile_turns(spark, sf_dir):
-    """Verdicts per number over witnesses ranked by tier."""
-    rows = table(spark, sf_dir, "conversations").select(
-        "turn", "conv_id", F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 12)), r"\s+", " ")).alias("key"),
-        graph.category_rank(F.col("role"), ["system", "user"]).cast("long").alias("rank"),
-    )
-    return witness.reconcile(rows, "turn", "conv_id", "key", "rank")
+    """Verdicts per number over whole texts of witnesses ranked by tier."""
+    rank = graph.category_rank(F.col("role"), ["system", "user"]).cast("int").alias("rank")
+    rows = table(spark, sf_dir, "conversations").select("turn", "conv_id", F.lit(0).alias("place"), "text", rank)
+    out = witness.reconcile(rows, "turn", "conv_id", "place", "text", "rank")
+    return out.withColumn("n_texts", F.size("texts").cast("long")).drop("texts")
 
 
 @REGISTRY.add(
-    "reconcile_turns_whole",
+    "running_heads",
     r"""
-    WITH one AS (SELECT turn, conv_id, max(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS k,
-                        min(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) AS r FROM conversations GROUP BY 1, 2)
-    SELECT turn, count(*) AS witnesses, count(DISTINCT k) AS versions, CAST(min(r) AS BIGINT) AS best_rank,
-           CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT k) = 1 THEN 'confirmed' ELSE 'disputed' END AS status
-    FROM one GROUP BY turn
+    WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
+         k AS (SELECT *, regexp_replace(line, '[^\p{L}]', '', 'g') AS letters FROM l WHERE length(line) BETWEEN 8 AND 100 AND NOT regexp_matches(line, '[;:,]$')
+               AND NOT regexp_matches(line, '^\s*(§\s*)?\d{1,3}[A-Za-z]{0,2}\.\s+\S'))
+    SELECT doc_id AS doc, lower(substr(letters, 1, 18)) AS key, count(*) AS times FROM k
+    WHERE length(letters) >= 8 AND length(regexp_replace(letters, '[^\p{Lu}]', '', 'g')) >= 0.8 * length(letters) GROUP BY 1, 2 HAVING count(*) >= 2
     """,
 )
-def reconcile_turns_whole(spark, sf_dir):
-    """Verdicts per number over whole texts; ``reconcile_turns`` compares the first 12 characters only."""
-    rank = graph.category_rank(F.col("role"), ["system", "user"]).cast("long").alias("rank")
-    rows = table(spark, sf_dir, "conversations").select("turn", "conv_id", text.text_skeleton(F.col("text")).alias("key"), rank)
-    return witness.reconcile(rows, "turn", "conv_id", "key", "rank")
+def running_heads(spark, sf_dir):
+    """Running heads that a document repeats: short lines in capitals, by their first 18 letters."""
+    return statutes.running_heads(statutes.lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @REGISTRY.add(
-    "running_heads",
+    "capital_heads",
     r"""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-         k AS (SELECT doc_id, substr(regexp_replace(lower(line), '[^a-z]', '', 'g'), 1, 18) AS key FROM l WHERE length(trim(line, ' ')) BETWEEN 8 AND 100)
-    SELECT doc_id, key, count(*) AS times FROM k WHERE length(key) >= 8 GROUP BY 1, 2 HAVING count(*) >= 2
+    WITH l AS (SELECT doc_id, trim(unnest(string_split(upper(text), chr(10)))) AS line FROM documents WHERE lang = 'en'),
+         k AS (SELECT *, regexp_replace(line, '[^\p{L}]', '', 'g') AS letters FROM l WHERE length(line) BETWEEN 8 AND 100 AND NOT regexp_matches(line, '[;:,]$')
+               AND NOT regexp_matches(line, '^\s*(§\s*)?\d{1,3}[A-Za-z]{0,2}\.\s+\S'))
+    SELECT doc_id AS doc, lower(substr(letters, 1, 18)) AS key, count(*) AS times FROM k
+    WHERE length(letters) >= 8 AND length(regexp_replace(letters, '[^\p{Lu}]', '', 'g')) >= 0.8 * length(letters) GROUP BY 1, 2 HAVING count(*) >= 2
     """,
 )
-def running_heads(spark, sf_dir):
-    """Lines that a document repeats, by their first 18 letters."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.length(F.trim("line")).between(8, 100))
-    keyed = lines.select("doc_id", F.substring(F.regexp_replace(F.lower("line"), "[^a-z]", ""), 1, 18).alias("key")).where(F.length("key") >= 8)
-    return witness.running_heads(keyed, "doc_id", "key")
+def capital_heads(spark, sf_dir):
+    """The same over texts set in capitals throughout, where the other guards decide."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.upper("text").alias("text"))
+    return statutes.running_heads(statutes.lines(docs, "doc_id", "text"))
 
 
 @REGISTRY.add(
@@ -231,7 +245,27 @@ def text_skeleton_groups(spark, sf_dir):
     return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@REGISTRY.add("register_score")
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
+
+
+def _weighed(markers: dict[str, int]) -> str:
+    return " + ".join(f"{w} * " + _count(rf"(?i)\b{m[:-1]}" if m.endswith("*") else rf"(?i)\b{m}\b") for m, w in markers.items() if m.isascii())
+
+
+@REGISTRY.add(
+    "register_score",
+    rf"""
+    -- letters beyond ASCII are letters at a word's edge too, which this dialect's edges do not know: digits stand for them
+    WITH o AS (SELECT doc_id, coalesce(text, '') AS raw FROM documents),
+         d AS (SELECT doc_id, raw, regexp_replace(raw, '[À-ÖØ-öø-ɏḀ-ỿ]', '0', 'g') AS t FROM o),
+         s AS (SELECT doc_id, CAST({_weighed(register.ASHKENAZI)} + {_count(r"\b[A-Za-z]{{2,}}(?:os|us)\b")} AS BIGINT) AS ashkenazi,
+                      CAST({_weighed(register.SEPHARDI)} + {_count(r"\b[A-Za-z]{{2,}}ot\b")} + {_count("(?i)[ḥṭṣẓḳ]").replace("(t,", "(raw,")} AS BIGINT) AS sephardi FROM d),
+         c AS (SELECT *, greatest(ashkenazi, sephardi) >= 3 AND greatest(ashkenazi, sephardi) >= 2 * least(ashkenazi, sephardi) AS confident FROM s)
+    SELECT *, CASE WHEN ashkenazi > sephardi THEN 'ashkenazi' WHEN sephardi > ashkenazi THEN 'sephardi' ELSE 'undetermined' END AS register,
+           ashkenazi > sephardi AND confident AS refused FROM c
+    """.replace("{{2,}}", "{2,}"),
+)
 def register_score(spark, sf_dir):
     """Register of documents by weighted markers."""
     a, s = register.scores(F.col("text"))
@@ -325,12 +359,12 @@ def next_saturday(spark, sf_dir):
 @REGISTRY.add(
     "section_numbers",
     """
-    SELECT * FROM (VALUES (1, '3', 3, ''), (2, '3', 3, ''), (3, '3', 3, ''), (4, '3', 3, ''), (5, '12A', 12, 'A'), (6, '2', 2, ''), (7, 'X', 1000000, 'X')) v(id, number, place, rest)
+    SELECT * FROM (VALUES (1, '3', 3, ''), (2, '3', 3, ''), (3, '3', 3, ''), (4, '3', 3, ''), (5, '12A', 12, 'A'), (6, '2', 2, ''), (7, 'x', 1000000, 'x'), (8, '15', 15, ''), (9, '7א', 7, 'א')) v(id, number, place, rest)
     """,
 )
 def section_numbers(spark, sf_dir):
     """Spellings of section numbers on one form, with their numeric order."""
-    rows = [(1, "§ 3"), (2, "Section 3."), (3, "סעיף 03"), (4, "sec. 3"), (5, "12a"), (6, " 2. "), (7, "x")]
+    rows = [(1, "§ 3"), (2, "Section 3."), (3, "סעיף 03"), (4, "sec. 3"), (5, "12a"), (6, " 2. "), (7, "x"), (8, "０１５"), (9, "סעיף 7 א")]
     out = spark.createDataFrame(rows, "id int, raw string").select("id", text.section_number(F.col("raw")).alias("number"))
     place, rest = text.section_order(F.col("number"))
     return out.select("id", "number", place.alias("place"), rest.alias("rest"))
@@ -348,40 +382,3 @@ def statute_text(spark, sf_dir):
     rows = [(1, "The regu-\nlation\nholds."), (2, "One\ntwo\n\nthree"), (3, "Non-\nA")]
     t = spark.createDataFrame(rows, "id int, t string").select("id", text.tidy(text.dehyphenate(F.col("t"))).alias("tidied"))
     return t.withColumn("joined", F.col("tidied"))
-
-
-ROMANIZED = [
-    (1, "sbl-general", "הַמֶּלֶךְ", "ha-melekh", ""),
-    (2, "bgn-pcgn", "הַמֶּלֶךְ", "haMmelekh", ""),
-    (3, "sbl-academic", "תּוֹרָה", "tôrâ", ""),
-    (4, "ala-lc", "תּוֹרָה", "torah", ""),
-    (5, "encyclopaedia-judaica-general", "תּוֹרָה", "torah", ""),
-    (6, "sbl-general", "כָּל־הָאָרֶץ", "kol-ha-’arets", ""),
-    (7, "sbl-general", "The word שָׁלוֹם means peace.", "The word shalom means peace.", ""),
-    (8, "sbl-general", "שָׁרְצוּ", "sharetsu", "qamats-may-be-short,sheva-after-qamats"),
-    (9, "sbl-general", "וַיְדַבֵּר", "vaydabber", ""),
-    (10, "sbl-general", "", "", ""),
-]
-
-
-@REGISTRY.add(
-    "romanize_schemes",
-    "SELECT CAST(id AS INTEGER) AS id, scheme, latin, flags FROM (VALUES "
-    + ", ".join(f"({i}, '{s}', '{latin}', '{flags}')" for i, s, _, latin, flags in ROMANIZED)
-    + ") AS g(id, scheme, latin, flags)",
-)
-def romanize_schemes(spark, sf_dir):
-    """Authored words under the schemes that state a value for them, with the flags raised."""
-    out = None
-    for scheme in sorted({row[1] for row in ROMANIZED}):
-        rows = spark.createDataFrame([(i, t) for i, s, t, *_ in ROMANIZED if s == scheme], "id int, t string").withColumn("r", romanizer.romanize(F.col("t"), scheme))
-        rows = rows.select("id", F.lit(scheme).alias("scheme"), F.col("r.text").alias("latin"), F.array_join("r.flags", ",").alias("flags"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@REGISTRY.add("romanize_documents", "SELECT doc_id, text AS latin, CAST(0 AS BIGINT) AS n_flags FROM documents")
-def romanize_documents(spark, sf_dir):
-    """Whole texts without Hebrew pass through unchanged."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", romanizer.romanize(F.col("text")).alias("r"))
-    return docs.select("doc_id", F.col("r.text").alias("latin"), F.coalesce(F.size("r.flags"), F.lit(0)).cast("long").alias("n_flags"))
