@@ -58,22 +58,36 @@ class Features:
         return np.bincount(self.slot[mask[self.row]], minlength=len(self.vocabulary))
 
 
+_index: list = [None, None, 0]
+
+
+def _place(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in a sorted vocabulary, -1 where they are not: the leading bits say where to begin, a few steps find the place."""
+    bits = min(26, len(vocabulary).bit_length() + 2)
+    if _index[0] is not vocabulary:
+        _index[:] = vocabulary, np.searchsorted(vocabulary, np.arange(1 << bits, dtype=W.U64) << W.U64(64 - bits)).astype(np.int32), bits
+    at = _index[1][(hashes >> W.U64(64 - bits)).astype(np.int64)]
+    place, open_ = np.full(len(hashes), -1), np.arange(len(hashes))
+    while len(open_):
+        open_ = open_[at[open_] < len(vocabulary)]
+        there = vocabulary[at[open_]]
+        found = there == hashes[open_]
+        place[open_[found]] = at[open_[found]]
+        open_ = open_[there < hashes[open_]]
+        at[open_] += 1
+    return place
+
+
 def features(column: pa.Array, vocabulary: np.ndarray | None = None) -> Features:
     """Sparse features of texts: the words of a vocabulary, or of their own, that occur in them."""
     hashes, row = word_hashes(column)
     if vocabulary is None:
-        vocabulary = np.unique(hashes)
-    elif not len(vocabulary):
-        hashes, row = hashes[:0], row[:0]
+        vocabulary, slot = np.unique(hashes, return_inverse=True)
     else:
-        near = np.zeros(1 << 16, bool)
-        near[(vocabulary >> W.U64(48)).astype(np.int64)] = True
-        maybe = near[(hashes >> W.U64(48)).astype(np.int64)]
-        hashes, row = hashes[maybe], row[maybe]
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        hashes, row = hashes[vocabulary[at] == hashes], row[vocabulary[at] == hashes]
+        slot = _place(vocabulary, hashes) if len(vocabulary) else np.full(len(hashes), -1)
+        slot, row = slot[slot >= 0], row[slot >= 0]
     size = max(1, len(vocabulary))
-    keys = np.unique(row * size + np.searchsorted(vocabulary, hashes))
+    keys = np.unique(row * size + slot)
     return Features(vocabulary, keys % size, keys // size, len(column))
 
 

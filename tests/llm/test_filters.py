@@ -133,3 +133,12 @@ def test_probabilities_sum_to_one():
     f = toxicity.features(pa.array(["a b", None, "c"]))
     model = toxicity.OrdinalModel(f.vocabulary, np.ones(len(f.vocabulary)), np.array([0.0, 1.0]))
     assert np.allclose(model.probabilities(model.scores(f)).sum(1), 1)
+
+
+def test_places_in_a_vocabulary():
+    rng = np.random.default_rng(3)
+    vocabulary = np.unique(rng.integers(0, 2**64, 5000, np.uint64))
+    asked = np.concatenate([rng.choice(vocabulary, 3000), rng.integers(0, 2**64, 3000, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    want = np.searchsorted(vocabulary, asked)
+    want = np.where(vocabulary[np.minimum(want, len(vocabulary) - 1)] == asked, want, -1)
+    assert (toxicity._place(vocabulary, asked) == want).all() and (toxicity._place(vocabulary[:1], asked) >= -1).all()
