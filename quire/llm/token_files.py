@@ -25,6 +25,8 @@ SHARD_TOKENS = 4_000_000
 PART_BYTES = 16 << 20
 #: Parts that are summed together before the groups of them are.
 GROUP = 1000
+#: Shards whose starts are broadcast to them; more are joined.
+FEW_SHARDS = 100_000
 #: Pieces after which a worker starts a new memory of their ids; the one before is kept beside it.
 MEMORY = 350_000
 
@@ -37,9 +39,10 @@ _OTHER = (
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _simple(texts: list[str]) -> list[bool]:
-    """Whether single spaces and line breaks between words, and stops after words, are all there is to cut at."""
-    return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), _OTHER)).to_pylist()
+def _simple(texts: list[str], added: list[str]) -> list[bool]:
+    """Whether single spaces and line breaks between words, and stops after words, are all there is to cut at, and no added token is there."""
+    pattern = "|".join([_OTHER, *map(re.escape, added)])
+    return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), pattern)).to_pylist()
 
 
 def _marked(text: str) -> str:
@@ -61,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = re.compile("|".join(sorted(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values())), key=len, reverse=True)) or r"(?!)")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.levels = max(1, (max(vocab.values())).bit_length())
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
@@ -93,14 +96,11 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known, self.before = {}, self.known
         self.known.update(self.marks)
-        whole = {i for i, t in enumerate(texts) if self.added.search(t)}
-        simple = [i for i, yes in enumerate(_simple(texts)) if yes and i not in whole]
+        simple = [i for i, yes in enumerate(_simple(texts, self.added)) if yes]
         out: list[bytes] = [b""] * len(texts)
-        for i in whole:
-            out[i] = self._plain(texts[i])
         for i, ids in zip(simple, self._gather([_marked(texts[i]) for i in simple]), strict=True):
             out[i] = ids
-        for i in sorted(set(range(len(texts))).difference(simple, whole)):
+        for i in sorted(set(range(len(texts))).difference(simple)):
             out[i] = self._by_piece(texts[i])
         return out
 
@@ -140,7 +140,7 @@ class Encoder:
 
     def _by_piece(self, text: str) -> bytes:
         """Ids of any other text, cut at single spaces alone."""
-        if any(mark in text for mark in "\x02\x03\x04"):
+        if any(mark in text for mark in "\x02\x03\x04") or any(token in text for token in self.added):
             return self._plain(text)
         head, *rest = _CUT.split(text)
         rest = [p[1:] for p in rest]
@@ -246,6 +246,8 @@ def read_shards(docs_folder: DataFrame) -> DataFrame:
     parts = parts.select("part", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")).join(groups, "group")
     shards = sums.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("shard_start")).join(parts, "part")
     starts = shards.select("part", "shard", (F.col("group_start") + F.col("part_start") + F.col("shard_start")).alias("start"))
+    if sums.limit(FEW_SHARDS + 1).count() <= FEW_SHARDS:  # some 30 bytes each
+        starts = F.broadcast(starts)
     return docs_folder.join(starts, ["part", "shard"]).select("start", "payload").mapInArrow(_decode, TOKENS)
 
 
