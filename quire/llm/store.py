@@ -57,13 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes what was written to ``path`` in the shared folder, on whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def prepare(spark: SparkSession) -> None:
     """Bounds the memory of Arrow batches of long texts, unless the session sets a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
