@@ -266,12 +266,11 @@ def token_scores(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
     return out + model.within[ids], hashes, offsets
 
 
-def context_hashes(model: Model, hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """One hash of the two neighbours of every token; a text's edges are neighbours too.
+def _contexts(model: Model, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the two neighbours of every token, whether the context is a frequent one, parts of its tokens of this word); a text's edges are neighbours too.
 
-    A context has no more tokens than its rarer neighbour has occurrences. Where these are more than
-    ``CHUNK_TOKENS``, the corpus is dealt by ``rows`` (a hash of each row) into as many parts as that
-    takes, and contexts of different parts are different ones.
+    A context has no more tokens than its rarer neighbour has occurrences, and no more of a word than the
+    word has. It is frequent where its neighbours both have more than ``CHUNK_TOKENS``.
     """
     ids = (hashes >> W.U64(64 - model.bits)).astype(np.int64)
     left, right, near, far = np.roll(hashes, 1), np.roll(hashes, -1), np.roll(ids, 1), np.roll(ids, -1)
@@ -280,7 +279,82 @@ def context_hashes(model: Model, hashes: np.ndarray, offsets: np.ndarray, rows:
     left[starts], right[ends] = W.U64(1), W.U64(2)
     near[starts] = far[ends] = len(model.parts) - 1
     parts = np.minimum(model.parts[near], model.parts[far])
-    return W.mix(W.mix(left * W.U64(0x9E3779B97F4A7C15) + right) + rows.view(W.U64) % parts.astype(W.U64))
+    return W.mix(W.mix(left * W.U64(0x9E3779B97F4A7C15) + right)), parts > 1, np.minimum(parts, model.parts[ids])
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The 32 bits of hash by which words are told apart between the same neighbours."""
+    return (hashes >> W.U64(8)).astype(np.uint32)
+
+
+def _dealt(contexts: np.ndarray, words: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Where the tokens of a word in a frequent context meet, by part."""
+    return W.mix(W.mix(contexts + words.astype(W.U64) * W.U64(0xC2B2AE3D27D4EB4F)) + part)
+
+
+def context_hashes(model: Model, hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """One hash of the two neighbours of every token, by which tokens meet.
+
+    The tokens of frequent contexts are dealt by word and by ``rows`` (a hash of each row) into as many
+    parts as ``_contexts`` says. What such a part does not show, how often the context and the word in
+    it occur in all texts, comes from ``_frequent``, so that scores do not depend on the parts.
+    """
+    contexts, frequent, parts = _contexts(model, hashes, offsets)
+    some = np.flatnonzero(frequent)
+    contexts[some] = _dealt(contexts[some], _short(hashes[some]), rows[some].view(W.U64) % parts[some].astype(W.U64))
+    return contexts
+
+
+def _tally(model: Model):
+    """Occurrences of each word in each frequent context, summed up by some millions of tokens."""
+
+    def close(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, contexts, words, parts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        columns = [contexts[first].view(np.int64), words[first].astype(np.int64), parts[first].astype(np.int64), np.bincount(at, counts, minlength=len(first)).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "word", "parts", "same"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                _, hashes, offsets = _ids(part.column("text"), model.bits)
+                if not len(hashes):
+                    continue
+                contexts, frequent, parts = _contexts(model, hashes, offsets)
+                contexts, words, parts = contexts[frequent], _short(hashes[frequent]), parts[frequent]
+                keys, first, counts = np.unique(_dealt(contexts, words, W.U64(0)), return_index=True, return_counts=True)
+                held.append((keys, contexts[first], words[first], parts[first], counts))
+                n += len(held[-1][0])
+                if n >= CHUNK_TOKENS // 2:
+                    yield close(held)
+                    held, n = [], 0
+        if held:
+            yield close(held)
+
+    return run
+
+
+def _frequent(keyed: DataFrame, model: Model, bits: int) -> DataFrame:
+    """Counts of the words in frequent contexts over all texts, packed by bucket like tokens: every part of a word's tokens gets them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word, parts, same, there = (batch.column(c).to_numpy() for c in ("context", "word", "parts", "same", "there"))
+            row = np.repeat(np.arange(len(parts)), parts)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            meet = _dealt(context.view(W.U64)[row], word[row], part.astype(W.U64))
+            order = np.argsort(meet)
+            meet, row = meet[order], row[order]
+            top = meet >> W.U64(64 - bits) if bits else np.zeros(len(meet), W.U64)
+            edges = [*np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])).tolist(), len(top)] if len(top) else []
+            out = [(int(top[a]), b"", b"", b"", False, meet[a:b].tobytes(), same[row[a:b]].tobytes(), there[row[a:b]].tobytes(), b"") for a, b in zip(edges, edges[1:], strict=False)]
+            yield from _batches(out, TOKENS)
+
+    counts = keyed.select("text").mapInArrow(_tally(model), "context long, word long, parts long, same long")
+    counts = written(counts.groupBy("context", "word").agg(F.max("parts").alias("parts"), F.sum("same").alias("same")), "frequent")
+    totals = counts.groupBy("context").agg(F.sum("same").alias("there"))
+    return counts.join(totals, "context").mapInArrow(pack, TOKENS)
 
 
 TOKENS = "bucket long, chunks binary, which binary, places binary, wide boolean, contexts binary, words binary, logs binary, rows binary"
@@ -336,7 +410,7 @@ def _emit(model: Model, bits: int):
                     continue
                 rows, counts = part.column("row").to_numpy(), np.diff(offsets)
                 contexts = context_hashes(model, hashes, offsets, np.repeat(rows, counts))
-                chunk.append((contexts, (hashes >> W.U64(8)).astype(np.uint32), np.clip(-logs / LOG_STEP, 0, 255).round().astype(np.uint8), rows, counts))
+                chunk.append((contexts, _short(hashes), np.clip(-logs / LOG_STEP, 0, 255).round().astype(np.uint8), rows, counts))
                 held += len(logs)
                 if held >= CHUNK_TOKENS:
                     yield from close(chunk)
@@ -347,10 +421,11 @@ def _emit(model: Model, bits: int):
     return run
 
 
-def mixed_logs(contexts: np.ndarray, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
+def mixed_logs(contexts: np.ndarray, words: np.ndarray, logs: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Log-probability of every token from the other tokens between the same neighbours, and from the network.
 
     (times the word stands there besides + PRIOR p) / (tokens there besides + PRIOR), with p of the network.
+    ``known``: (contexts in order, times the word stands there, tokens there) of those whose tokens are not all here.
     """
     _, group, there = np.unique(contexts, return_inverse=True, return_counts=True)
     pair = np.lexsort((words, group))
@@ -358,7 +433,12 @@ def mixed_logs(contexts: np.ndarray, words: np.ndarray, logs: np.ndarray) -> np.
     first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])]))
     same = np.empty(len(pair), np.int64)
     same[pair] = np.repeat(np.diff(np.append(first, len(pair))), np.diff(np.append(first, len(pair))))
-    return np.log((same - 1 + PRIOR * np.exp(logs)) / (there[group] - 1 + PRIOR))
+    there = there[group]
+    if known is not None:
+        place = np.minimum(np.searchsorted(known[0], contexts), len(known[0]) - 1)
+        found = np.flatnonzero(known[0][place] == contexts)
+        same[found], there[found] = known[1][place[found]], known[2][place[found]]
+    return np.log((same - 1 + PRIOR * np.exp(logs)) / (there - 1 + PRIOR))
 
 
 def _unpacked(row: dict, bits: int) -> tuple[np.ndarray, ...]:
@@ -399,16 +479,27 @@ def _finer(bits: int, more: int):
     return run
 
 
-def _meet(bits: int):
+def _sorted(known: list[list[np.ndarray]], kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Counts of frequent contexts in order, by the bits of hash that tokens have kept."""
+    if not known[0]:
+        return None
+    meet, same, there = map(np.concatenate, known)
+    meet = meet >> W.U64(64 - kept) << W.U64(64 - kept)
+    order = np.argsort(meet)
+    return meet[order], same[order], there[order]
+
+
+def _meet(bits: int, kept: int):
     """Of the tokens of a bucket of contexts, the summed log-probabilities by chunk and place, in millionths (whole numbers add up the same in any order)."""
 
     def meet(rows):
         rows, out = rows.to_pylist(), []
         out = [(int(np.frombuffer(r["chunks"], np.int64)[0]), b"", False, b"", b"", r["rows"]) for r in rows if r["rows"]]
-        packed = [_unpacked(r, bits) for r in rows if not r["rows"]]
+        packed = [_unpacked(r, bits) for r in rows if r["chunks"] and not r["rows"]]
+        known = [[np.frombuffer(r["contexts"], W.U64) for r in rows if not r["chunks"]], *[[np.frombuffer(r[c], np.int64) for r in rows if not r["chunks"]] for c in ("words", "logs")]]
         if packed:
             contexts, words, chunks, places, logs = map(np.concatenate, zip(*packed, strict=True))
-            values = np.round(1e6 * mixed_logs(contexts, words, -LOG_STEP * logs.astype(np.float64)))
+            values = np.round(1e6 * mixed_logs(contexts, words, -LOG_STEP * logs.astype(np.float64), _sorted(known, kept)))
             names, which = np.unique(chunks, return_inverse=True)
             order = np.lexsort((places, which))
             which, places, values = which[order], places[order], values[order]
@@ -454,8 +545,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Each token is predicted, itself masked, from both sides: by the network from ``SIDE`` words on
     either side, and by all other tokens of all texts that stand between the same two words, the
     network counting as ``PRIOR`` of them. These occurrences are gathered from the whole corpus in one
-    exchange by hash of the two neighbours, packed; very frequent contexts are dealt into parts (see
-    ``context_hashes``). Log-probabilities of the network travel in steps of ``LOG_STEP``, contexts and
+    exchange by hash of the two neighbours, packed; very frequent contexts are dealt into parts, which
+    get the counts over all texts (see ``context_hashes``). Log-probabilities of the network travel in steps of ``LOG_STEP``, contexts and
     words by 40 (and the bucket's) and 32 bits of hash.
 
     Null and empty texts have no tokens, 0 as sum and a null mean. Rows with equal id and text have
@@ -467,12 +558,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (int(size) // WORD_BYTES // CHUNK_TOKENS).bit_length())
     at = min(bits, EXCHANGE_BITS)
+    kept = 40 + at
     tokens = keyed.mapInArrow(_emit(model, at), TOKENS)
     while at < bits:
         more = min(bits, at + EXCHANGE_BITS)
         tokens = tokens.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_finer(at, more), TOKENS)
         at = more
-    sums = tokens.groupBy("bucket").applyInArrow(_meet(bits), SUMS).groupBy("chunk").applyInArrow(_by_row, ROWS)
+    if (model.parts > 1).any():
+        tokens = tokens.unionByName(_frequent(keyed, model, bits))
+    sums = tokens.groupBy("bucket").applyInArrow(_meet(bits, kept), SUMS).groupBy("chunk").applyInArrow(_by_row, ROWS)
     sums = sums.groupBy("row").agg(F.sum("millionths").alias("millionths"), F.sum("tokens").alias("tokens"))
     counted = rows.select("id", F.xxhash64(F.xxhash64("id"), "text").alias("row"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"))
     out = counted.join(sums, "row", "left")

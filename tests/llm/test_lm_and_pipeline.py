@@ -69,6 +69,24 @@ def test_scores_equal_brute_force(spark, bits, monkeypatch):
     assert means["None"] is None and means["5000"] is None
 
 
+@pytest.mark.parametrize("bits", [12, 2])
+def test_scores_do_not_depend_on_parts(spark, bits, monkeypatch):
+    """Frequent contexts are dealt into many parts, and scored by all their tokens."""
+    rng = random.Random(1)
+    rows = [*corpus(rng), *[(7000 + i, " ".join(rng.choices(["the", "of", "and", "one"], [8, 4, 2, 1], k=40)), 0) for i in range(100)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    with monkeypatch.context() as m:
+        m.setattr(P, "CHUNK_TOKENS", 100)
+        model = P.train(docs.repartition(3))
+    assert (model.parts > 3).sum() >= 3
+    monkeypatch.setattr(P, "EXCHANGE_BITS", bits)
+    monkeypatch.setattr(P, "CHUNK_TOKENS", 5_000)
+    got = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in P.score(docs.repartition(5), model).collect())
+    want = brute_scores(rows, model)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) <= 1e-6 * (1 + w[1]) for g, w in zip(got, want))
+
+
 def test_layout_does_not_matter(spark, monkeypatch):
     monkeypatch.setattr(P, "SHARD_BYTES", 20_000)  # a tree of several levels
     monkeypatch.setattr(P, "FAN_IN", 3)
