@@ -112,3 +112,25 @@ def test_components_equal_a_union_of_sets(spark, edges):
             parent[high] = low
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(tuple(r) for r in got) == sorted((n, root(n)) for n in parent)
+
+
+def test_components_write_few_files(spark):
+    """However many partitions the exchanges have."""
+    from pathlib import Path
+
+    from quire.llm import components as C
+    from quire.llm import store
+
+    store.shared_folder(spark)
+    root = Path("/" + spark.sparkContext.getCheckpointDir().split(":", 1)[-1].lstrip("/"))
+    before, old = set(root.glob("rdd-*")), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("61", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = C.components(spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10 != 9], "a long, b long")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.component for r in got} == {i: i - i % 10 for i in range(300)}
+    made = [len(list(d.glob("part-*"))) for d in set(root.glob("rdd-*")) - before]
+    assert made and max(made) <= 4 * spark.sparkContext.defaultParallelism < 61
