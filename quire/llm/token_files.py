@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,14 @@ PART_BYTES = 16 << 20
 GROUP = 1000
 #: Shards whose starts are broadcast to them; more are joined.
 FEW_SHARDS = 100_000
-#: Pieces after which a worker starts a new memory of their ids; the one before is kept beside it.
-MEMORY = 350_000
+#: Bytes of text whose pieces are looked up together.
+LOOKUP_BYTES = 24 << 20
+#: Pieces a worker remembers with their ids; beyond it the half that most lookups met stays.
+MEMORY = 800_000
+#: Characters of the pieces that the library encodes in one text.
+JOINED = 1 << 14
+#: Bytes of the longest piece that is remembered.
+LONG = 64
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 # RE2: empty texts, edges and runs of white space, white space but spaces and line breaks, the marks for stops and heads, stops not after a letter or digit
@@ -39,16 +46,24 @@ _OTHER = (
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _simple(texts: list[str], added: list[str]) -> list[bool]:
+def _simple(texts: pa.Array, added: list[str]) -> pa.BooleanArray:
     """Whether single spaces and line breaks between words, and stops after words, are all there is to cut at, and no added token is there."""
-    pattern = "|".join([_OTHER, *map(re.escape, added)])
-    return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), pattern)).to_pylist()
+    return pc.invert(pc.match_substring_regex(texts, "|".join([_OTHER, *map(re.escape, added)])))
 
 
-def _marked(text: str) -> str:
-    """A simple text as pieces between spaces: stops are followed by x02, the head of a line preceded by x03, that of the text by x04."""
-    text = (text + "\n").replace(". ", " .\x02 ").replace(", ", " ,\x02 ").replace(".\n", " .\x02\n").replace(",\n", " ,\x02\n")[:-1]
-    return "\x04" + text.replace("\n", " \x03")
+def _marked(texts: pa.Array) -> pa.Array:
+    """Simple texts as lists of pieces: stops are followed by x02, the head of a line preceded by x03, that of the text by x04; a last x03 is none of the text."""
+    head, line, none = (pa.scalar(s, pa.large_string()) for s in ("\x04", "\n", ""))
+    out = pc.binary_join_element_wise(head, texts, line, none)
+    for mark, spaced in ((". ", " .\x02 "), (", ", " ,\x02 "), (".\n", " .\x02\n"), (",\n", " ,\x02\n"), ("\n", " \x03")):
+        out = pc.replace_substring(out, mark, spaced)
+    return pc.split_pattern(out, " ")
+
+
+def _within(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of spans, one span after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
 
 
 class Encoder:
@@ -56,8 +71,9 @@ class Encoder:
 
     Its pre-tokenizer starts a new piece at every space between two non-space characters, takes a line
     break between two such characters as a piece, and a full stop or comma between a letter or digit
-    and white space. Texts are cut there and each distinct piece encoded by the library once. A text
-    that holds the string of an added token goes whole through the library, which takes it for that token.
+    and white space. Texts are cut there and each distinct piece encoded by the library once, as long
+    as it is remembered. A text that holds the string of an added token goes whole through the library,
+    which takes it for that token.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,82 +86,119 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
         self.spaced = np.zeros(1 << self.levels, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.marks = {mark + "\x02": self._plain(mark) for mark in ".,"}
         self.line = self._plain("\n")
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that follow a space; many pieces are encoded in one text and told apart by their spaces."""
-        for i in range(0, len(pieces), 500):
-            some = pieces[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(some) or starts[0] != 0:
-                self.known.update((p, self._plain(" " + p)) for p in some)
-                continue
-            raw, size = ids.tobytes(), self.kind.itemsize
-            ends = [*(starts[1:] * size).tolist(), len(raw)]
-            self.known.update(zip(some, [raw[a:b] for a, b in zip((starts * size).tolist(), ends, strict=True)], strict=True))
+        self.breaks = np.zeros(1 << self.levels, bool)
+        self.breaks[self.line] = len(self.line) == 1
+        # remembered pieces, where the ids of each begin in ``flat`` and how many they are, lookups that met it, the last of them
+        stops = [self._plain(mark) for mark in ".,"]
+        self.pieces = pa.array([".\x02", ",\x02"], pa.large_string())
+        self.sizes = np.array(list(map(len, stops)), np.int64)
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate(stops)
+        self.met, self.last, self.lookups = np.zeros(2, np.int64), np.zeros(2, np.int64), 0
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _joined(self, pieces: list[str], lead: str, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each with ``lead`` before it, and their numbers; many are encoded in one text and told apart by the ids in ``leads``."""
+        flat, sizes = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        ends, j = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), 0
+        while j < len(pieces):
+            before = int(ends[j - 1]) if j else 0
+            i, j = j, max(j + 1, min(j + 500, int(np.searchsorted(ends, before + JOINED, "right"))))
+            some = pieces[i:j]
+            ids = self._plain(lead + lead.join(some))
+            starts = np.flatnonzero(leads[ids])
+            if len(starts) == len(some) and starts[0] == 0:
+                flat.append(ids)
+                sizes.append(np.diff(starts, append=len(ids)))
+            else:
+                each = [self._plain(lead + p) for p in some]
+                flat += each
+                sizes.append(np.array(list(map(len, each)), np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.known) > MEMORY:
-            self.known, self.before = {}, self.known
-        self.known.update(self.marks)
-        simple = [i for i, yes in enumerate(_simple(texts, self.added)) if yes]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(simple, self._gather([_marked(texts[i]) for i in simple]), strict=True):
-            out[i] = ids
-        for i in sorted(set(range(len(texts))).difference(simple)):
-            out[i] = self._by_piece(texts[i])
-        return out
-
-    def _gather(self, texts: list[str]) -> list[bytes]:
-        """Ids of marked texts: each distinct piece is looked up once and its ids copied to where it stands."""
-        if not texts:
-            return []
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        pieces = lists.values.dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        blobs = list(map(self.known.get, distinct))
-        missing = [i for i, b in enumerate(blobs) if b is None]
-        self._know([distinct[i] for i in missing])
-        for i in missing:
-            blobs[i] = self.known[distinct[i]]
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
-        begins = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(blobs), self.kind)
-        offsets, index = lists.offsets.to_numpy(), pieces.indices.to_numpy()
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        return self.encode_columns([pa.array(texts, pa.large_string())])
+
+    def encode_columns(self, columns: list[pa.Array]) -> list[bytes]:
+        """Little-endian ids of each text of all columns (large strings without nulls), whose pieces are looked up together."""
+        out: list[bytes] = []
+        values: list[pa.Array] = []
+        spans: list[tuple[int, int, int]] = []
+        at = 0
+        for column in columns:
+            simple = _simple(column, self.added)
+            flags = simple.to_numpy(zero_copy_only=False)
+            cut = _marked(column.filter(simple))
+            ends = (at + cut.offsets.to_numpy()).tolist()
+            spans += zip((len(out) + np.flatnonzero(flags)).tolist(), ends[:-1], [e - 1 for e in ends[1:]], strict=True)
+            values.append(cut.values)
+            at += len(cut.values)
+            first = len(out)
+            out += [b""] * len(column)
+            rest: list[str] = []
+            for i in np.flatnonzero(~flags).tolist():
+                head, others = self._by_piece(column[i].as_py())
+                out[first + i] = self._plain(head).tobytes() if head else b""
+                spans.append((first + i, at + len(rest), at + len(rest) + len(others)))
+                rest += others
+            values.append(pa.array(rest, pa.large_string()))
+            at += len(rest)
+        index = self._know(values)
+        for i, a, b in spans:
             here = index[a:b]
-            n = sizes[here]
-            ends = np.cumsum(n)
-            out.append(flat[np.arange(int(ends[-1])) + np.repeat(begins[here] - ends + n, n)].tobytes())
+            out[i] += self.flat[_within(self.begins[here], self.sizes[here])].tobytes()
         return out
 
-    def _know(self, pieces: list[str]) -> None:
-        """Learns pieces that are in neither memory, and takes over those in the older one."""
-        old = {p: ids for p in pieces if (ids := self.before.get(p)) is not None}
-        self.known.update(old)
-        pieces = [p for p in pieces if p not in old] if old else pieces
-        for piece in pieces:
-            if piece[0] in "\x03\x04":
-                self.known[piece] = (self.line if piece[0] == "\x03" else b"") + self._plain(piece[1:])
-        self._learn([p for p in pieces if p[0] not in "\x03\x04"])
-
-    def _by_piece(self, text: str) -> bytes:
-        """Ids of any other text, cut at single spaces alone."""
+    def _by_piece(self, text: str) -> tuple[str, list[str]]:
+        """Any other text cut at single spaces alone, if at all: its head and the pieces that follow a space."""
         if any(mark in text for mark in "\x02\x03\x04") or any(token in text for token in self.added):
-            return self._plain(text)
+            return text, []
         head, *rest = _CUT.split(text)
-        rest = [p[1:] for p in rest]
-        self._learn(list(set(rest).difference(self.known)))
-        return (self._plain(head) if head else b"") + b"".join(map(self.known.__getitem__, rest))
+        return head, [p[1:] for p in rest]
+
+    def _know(self, values: list[pa.Array]) -> np.ndarray:
+        """The place of each value among the remembered pieces, which the new ones are added to."""
+        self._forget()
+        known = len(self.pieces)
+        found = pa.chunked_array([self.pieces, *values]).dictionary_encode()
+        index = np.concatenate([c.indices.to_numpy() for c in found.chunks])[known:]
+        self.pieces = found.chunk(found.num_chunks - 1).dictionary
+        new = self.pieces.slice(known).to_pylist()
+        begins, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        heads = {"\x03": [], "\x04": [], "": []}
+        for i, piece in enumerate(new):
+            heads[piece[0] if piece[:1] in "\x03\x04" and piece else ""].append(i)
+        for mark, places in heads.items():
+            pieces = [new[i] for i in places]
+            ids, n = self._joined([p[1:] for p in pieces], "\n", self.breaks) if mark else self._joined(pieces, " ", self.spaced)
+            skip = len(self.line) if mark == "\x04" else 0
+            begins[places], sizes[places] = len(self.flat) + np.cumsum(n) - n + skip, n - skip
+            self.flat = np.concatenate([self.flat, ids])
+        self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])
+        self.lookups += 1
+        now = np.zeros(len(self.pieces), bool)
+        now[index] = True
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)]) + now
+        self.last = np.where(now, self.lookups, np.concatenate([self.last, np.zeros(len(new), np.int64)]))
+        return index
+
+    def _forget(self) -> None:
+        """Drops long pieces and, where too many are left, the half met by fewest lookups, of these the longest ago; the two stops stay."""
+        keep = pc.binary_length(self.pieces).to_numpy() <= LONG
+        if keep.sum() > MEMORY:
+            score = np.where(keep, (self.met << 32) + self.last, -1)
+            keep = np.zeros(len(keep), bool)
+            keep[np.argpartition(score, len(score) - MEMORY // 2)[len(score) - MEMORY // 2 :]] = True
+        keep[:2] = True
+        if keep.all():
+            return
+        self.pieces = self.pieces.filter(pa.array(keep))
+        begins, self.sizes, self.met, self.last = self.begins[keep], self.sizes[keep], self.met[keep], self.last[keep]
+        self.flat = self.flat[_within(begins, self.sizes)]
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
 
 def _payload(levels: int, docs: list, blobs: list[bytes], kind: np.dtype) -> tuple[bytes, int]:
@@ -169,6 +222,20 @@ class Shard:
         self.tokens = WaveletMatrix(data[8 + 17 * n :])
 
 
+def _together(batches: Iterator[Iterator[pa.RecordBatch]]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices in order, as many at a time as hold ``LOOKUP_BYTES`` of text, one at least."""
+    some, held = [], 0
+    for piece in chain.from_iterable(batches):
+        size = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+        if some and held + size > LOOKUP_BYTES:
+            yield some
+            some, held = [], 0
+        some.append(piece)
+        held += size
+    if some:
+        yield some
+
+
 def _encode_parts(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -181,16 +248,16 @@ def _encode_parts(path: str, end_id: int):
             row = [part, shard, len(docs), n, payload]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SHARDS.split(", ")])
 
-        for batch in batches:
-            for piece in W.slices(batch, "text"):
-                for doc, ids in zip(piece.column("id").to_pylist(), encoder.encode(piece.column("text").fill_null("").to_pylist()), strict=True):
-                    size = len(ids) // encoder.kind.itemsize + 1
-                    if docs and held + size > SHARD_TOKENS:
-                        yield close()
-                        shard, docs, blobs, held = shard + 1, [], [], 0
-                    docs.append(doc)
-                    blobs.append(ids + end)
-                    held += size
+        for some in _together(W.slices(b, "text") for b in batches):
+            columns = [s.column("text").cast(pa.large_string()).fill_null("") for s in some]
+            for doc, ids in zip([i for s in some for i in s.column("id").to_pylist()], encoder.encode_columns(columns), strict=True):
+                size = len(ids) // encoder.kind.itemsize + 1
+                if docs and held + size > SHARD_TOKENS:
+                    yield close()
+                    shard, docs, blobs, held = shard + 1, [], [], 0
+                docs.append(doc)
+                blobs.append(ids + end)
+                held += size
         if docs:
             yield close()
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,3 +63,53 @@ def test_files_read_back(spark, monkeypatch):
     again = token_files.token_files(df.repartition(2), PATH).orderBy("start").collect()
     assert again == got  # rows that share an id included
     assert token_files.token_files(df.limit(0), PATH).count() == 0
+
+
+class Counting:
+    """The library's tokenizer, which writes down what it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_recurring_pieces_outlast_those_met_once(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 1000)
+    encoder = token_files.Encoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    often = "start " + " ".join(f"often{i}x" for i in range(300))
+    for k in range(3):
+        encoder.encode([often, "start " + " ".join(f"once{k}y{i}" for i in range(200))])
+    for k in range(3, 9):  # many texts without them
+        encoder.encode(["start " + " ".join(f"once{k}y{i}" for i in range(900))])
+    encoder.tokenizer.given.clear()
+    got = encoder.encode([often, often + " new"])
+    assert not any("often" in text for text in encoder.tokenizer.given)
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == [plain(often), plain(often + " new")]
+
+
+def test_pieces_are_looked_up_once_for_all_slices():
+    encoder = token_files.Encoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    words = [f"word{i}z" for i in range(700)]
+    columns = [pa.array([f"start {' '.join(words)}{sep}end"], pa.large_string()) for sep in ("\n", "  ", ". ", " <|endoftext|> ")]
+    got = encoder.encode_columns([*columns, pa.array([], pa.large_string())])
+    assert sum(text.count("word5z") for text in encoder.tokenizer.given) == 2  # once more in the text with an added token
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == [plain(c[0].as_py()) for c in columns]
+
+
+def test_small_memory_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 30)
+    monkeypatch.setattr(token_files, "LONG", 6)
+    rng = random.Random(3)
+    bits = ["the", "é", "𝄞", "don't", "a1!", "ция", "<|endoftext|>", "Wort.", "x,", "1.", "!.", ".5", "longer-than-six", "'s"]
+    encoder = token_files.Encoder(PATH)
+    assert encoder.encode([]) == [] and encoder.encode(["", "a  b"])[0] == b""
+    for _ in range(60):
+        texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", " ", "\n", "  ", "\n\n"]) for _ in range(rng.randint(1, 15))) + rng.choice(bits) for _ in range(8)]
+        got = encoder.encode_columns([pa.array(texts[:3], pa.large_string()), pa.array(texts[3:], pa.large_string())])
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == [plain(t) for t in texts]
+        assert len(encoder.pieces) < 400
