@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
+from quire.llm.memory import lean
 from quire.llm.store import prepare
 
 #: Unit words, in lower case.
@@ -240,7 +241,7 @@ def contaminated(
     hit = f"struct<item:{benchmark.schema[item_col].dataType.simpleString()},covered:int,item_words:int,changed:int>"
     out = docs.drop("hits").withColumn("hits", F.array().cast(f"array<{hit}>"))
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_items):
-        out = out.mapInArrow(_scan(ids, texts, text_col, width, least, run, most_slots, literal), out.schema)
+        out = out.mapInArrow(lean(_scan(ids, texts, text_col, width, least, run, most_slots, literal)), out.schema)
     return out
 
 

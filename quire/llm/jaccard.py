@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.llm import words as W
 from quire.llm.blas import one_thread
 from quire.llm.components import components
+from quire.llm.memory import lean
 from quire.llm.store import prepare, written
 
 #: Values of a document's signature; the tokens that paths are chosen from.
@@ -456,7 +457,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(rows.mapInArrow(_sketch(width), SETS), "sets")
+    sets = written(rows.mapInArrow(lean(_sketch(width)), SETS), "sets")
     classes = written(
         sets.where(F.col("size") > 0).groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("signature").alias("signature")),
         "classes",
@@ -470,7 +471,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         unnamed = members.where("first_id is null").drop("first_id")
         blank = rows.where("id is null").withColumn("node", F.lit(None).cast("long"))
         texts = texts.unionByName(_with_nodes(blank, width).join(unnamed, "node").withColumn("id", F.lit(None).cast("long")).select(texts.columns))
-    exact = texts.select("text", "node", "component", "copies", "members").mapInArrow(_to_sets(width), "node long, component long, copies long, members long, set binary")
+    exact = texts.select("text", "node", "component", "copies", "members").mapInArrow(lean(_to_sets(width)), "node long, component long, copies long, members long, set binary")
     exact = exact.dropDuplicates(["node"]) if sets.groupBy("id").count().where("count > 1").limit(1).count() else exact
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     dealt = exact.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -501,7 +502,7 @@ def _with_nodes(rows: DataFrame, width: int) -> DataFrame:
                 nodes = [_node(s) if len(s) else None for s in shingle_sets(part.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([part.column("text"), pa.array(nodes, pa.int64())], ["text", "node"])
 
-    return rows.select("text").mapInArrow(run, "text string, node long")
+    return rows.select("text").mapInArrow(lean(run), "text string, node long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

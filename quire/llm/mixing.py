@@ -133,11 +133,13 @@ def _plans(seed: int, most: float, shards: int):
 
 def _goals(totals: DataFrame, weights, most: float, kind: str) -> DataFrame:
     """(source, size, target): the targets of all sources, from one row of each (name, size) on the driver."""
-    rows = totals.select("source", "size").collect()  # a name and a number for each source
-    rows.sort(key=lambda r: (r.source is None, [ord(c) for c in str(r.source)] if r.source is not None else []))
-    sizes = [r["size"] for r in rows]
-    goals = targets(sizes, weights(len(rows)), sum(sizes), most)
-    return totals.sparkSession.createDataFrame([(r.source, s, float(g)) for r, s, g in zip(rows, sizes, goals, strict=True)], f"_source {kind}, _size long, _target double")
+    rows = totals.select(F.col("source").alias("_source"), F.col("size").alias("_size")).toArrow()  # a name and a number for each source
+    names = rows.column("_source").to_pylist()
+    rows = rows.take(pa.array(sorted(range(len(names)), key=lambda i: (names[i] is None, [ord(c) for c in str(names[i])] if names[i] is not None else [])), pa.int64()))
+    sizes = rows.column("_size").to_pylist()
+    goals = targets(sizes, weights(len(sizes)), sum(sizes), most)
+    rows = rows.append_column("_target", pa.array([float(g) for g in goals], pa.float64()))
+    return totals.sparkSession.createDataFrame(rows, f"_source {kind}, _size long, _target double")  # as Arrow: a list of rows starts Python workers of another kind, which stay
 
 
 def mix(

@@ -125,7 +125,7 @@ def _map_runs(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.WIDE):
                 words = W.Words(*W.text_buffer(part.column("text")))
                 starts = W.window_starts(words.offsets, width)
                 if not len(starts):
@@ -253,7 +253,7 @@ OUT = "n_words long, n_removed long, starts array<int>, ends array<int>, kept st
 def _cut(width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.WIDE):
                 yield _cut_part(part, width, with_text)
 
     return run

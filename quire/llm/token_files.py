@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm import words as W
+from quire.llm.memory import lean
 from quire.llm.store import cut, new_path, prepare
 from quire.llm.wavelet import WaveletMatrix, build
 
@@ -290,7 +291,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("key", F.xxhash64("text"))
     dealt = rows.repartitionByRange(max(1, -(-size // PART_BYTES)), "id", "key").sortWithinPartitions("id", "key", "text").select("id", "text")
-    dealt.mapInArrow(_encode_parts(tokenizer, end_id), SHARDS).write.parquet(folder)
+    dealt.mapInArrow(lean(_encode_parts(tokenizer, end_id)), SHARDS).write.parquet(folder)
 
 
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -315,7 +316,7 @@ def read_shards(docs_folder: DataFrame) -> DataFrame:
     starts = shards.select("part", "shard", (F.col("group_start") + F.col("part_start") + F.col("shard_start")).alias("start"))
     if sums.limit(FEW_SHARDS + 1).count() <= FEW_SHARDS:  # some 30 bytes each
         starts = F.broadcast(starts)
-    return docs_folder.join(starts, ["part", "shard"]).select("start", "payload").mapInArrow(_decode, TOKENS)
+    return docs_folder.join(starts, ["part", "shard"]).select("start", "payload").mapInArrow(lean(_decode), TOKENS)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from quire.llm import words as W
+from quire.llm.memory import lean
 from quire.llm.store import prepare
 
 #: Labels that the regression is fitted on at most: of each grade those with the smallest hash of their id.
@@ -235,7 +236,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     parts = [known.where(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(n) for g, n in quotas.items()]
     known = F.broadcast(reduce(DataFrame.unionByName, parts))  # so the texts stay where they are
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(known, "_id")
-    rows = rows.select(F.xxhash64(F.xxhash64("_id"), "text").alias("order"), "grade", "text").mapInArrow(_sampled, "order long, grade int, key long, words binary")
+    rows = rows.select(F.xxhash64(F.xxhash64("_id"), "text").alias("order"), "grade", "text").mapInArrow(lean(_sampled), "order long, grade int, key long, words binary")
     some = rows.orderBy("order", "grade").limit(MAX_TRAIN).toArrow()
     if not some.num_rows:
         return none
@@ -286,7 +287,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     added = [StructField("severity", DoubleType()), StructField("grade", IntegerType()), StructField("toxic", BooleanType())]
     schema = StructType([*docs.schema.fields, *added])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", graded: bool = False) -> OrdinalModel:

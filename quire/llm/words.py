@@ -16,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xC2B2AE3D27D4EB4F
 #: Bytes hashed at a time; bounds the working memory.
 BLOCK = 1 << 20
+#: Bytes of text in a slice where what is made of a slice is better counted or packed together; takes some 50 times as much memory.
+WIDE = 4 * BLOCK
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -116,7 +118,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``most`` bytes of text each, one row at least."""
     if batch.num_rows == 0:
         return
