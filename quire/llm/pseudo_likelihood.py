@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import words as W
 from quire.llm.blas import one_thread
+from quire.llm.memory import give_back, lean
 from quire.llm.store import prepare, written
 
 #: Bits of hashed words, the network's vocabulary: fewest, and most however large the corpus.
@@ -28,6 +29,8 @@ SHARD_BYTES, FAN_IN = 8 << 20, 64
 PRIOR = 1.0
 #: Tokens that a task packs at a time, and that a bucket of contexts holds on average.
 CHUNK_TOKENS = 2_000_000
+#: Tokens of a bucket whose contexts are compared at a time, on average.
+MEET_TOKENS = 250_000
 #: Bits of a context's hash that one exchange tells apart; finer buckets take a further exchange.
 EXCHANGE_BITS = 12
 #: Bytes of text per word, on the low side, for the number of buckets.
@@ -47,7 +50,7 @@ def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.WIDE):
                 counts += np.bincount(_ids(part.column("text"), bits)[0], minlength=1 << bits)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["bucket", "n"])
@@ -57,7 +60,7 @@ def _count(bits: int):
 
 def corpus_counts(docs: DataFrame, bits: int) -> np.ndarray:
     """Occurrences of every vocabulary bucket in all texts."""
-    rows = docs.mapInArrow(_count(bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2^MOST_BITS rows
+    rows = docs.mapInArrow(lean(_count(bits)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2^MOST_BITS rows
     counts = np.zeros(1 << bits, np.int64)
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return counts
@@ -184,12 +187,17 @@ def _train(network: Network, groups: np.ndarray, bits: int):
     """One pass of Adagrad over a shard, from the common start."""
 
     def train(key, rows):
+        made = one_pass(key, rows)
+        give_back()
+        return made
+
+    def one_pass(key, rows):
         one_thread()
         net, tokens = network.unpacked(network.pack()), 0
         speed = [np.full_like(x, 1e-6) for x in net.parts()]
         rows = rows.sort_by([("order", "ascending"), ("text", "ascending")])
         for batch in rows.select(["text"]).combine_chunks().to_batches():
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.WIDE):
                 ids, _, offsets = _ids(part.column("text"), bits)
                 target = groups[ids]
                 context = _context(target // GROUPS, offsets)
@@ -317,7 +325,7 @@ def _tally(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.WIDE):
                 _, hashes, offsets = _ids(part.column("text"), model.bits)
                 if not len(hashes):
                     continue
@@ -351,10 +359,10 @@ def _frequent(keyed: DataFrame, model: Model, bits: int) -> DataFrame:
             out = [(int(top[a]), b"", b"", b"", False, meet[a:b].tobytes(), same[row[a:b]].tobytes(), there[row[a:b]].tobytes(), b"") for a, b in zip(edges, edges[1:], strict=False)]
             yield from _batches(out, TOKENS)
 
-    counts = keyed.select("text").mapInArrow(_tally(model), "context long, word long, parts long, same long")
+    counts = keyed.select("text").mapInArrow(lean(_tally(model)), "context long, word long, parts long, same long")
     counts = written(counts.groupBy("context", "word").agg(F.max("parts").alias("parts"), F.sum("same").alias("same")), "frequent")
     totals = counts.groupBy("context").agg(F.sum("same").alias("there"))
-    return counts.join(totals, "context").mapInArrow(pack, TOKENS)
+    return counts.join(totals, "context").mapInArrow(lean(pack), TOKENS)
 
 
 TOKENS = "bucket long, chunks binary, which binary, places binary, wide boolean, contexts binary, words binary, logs binary, rows binary"
@@ -369,19 +377,22 @@ def _batches(rows: list[tuple], kinds: str) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(contexts: np.ndarray, words: np.ndarray, chunks: np.ndarray, places: np.ndarray, logs: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Tokens by bucket of their contexts: context and word (5 and 4 bytes of hash), the chunk and the place of their text in it, log-probability."""
-    top = contexts >> W.U64(64 - bits) if bits else np.zeros(len(contexts), W.U64)
+    """Tokens by bucket of their contexts: context and word (5 and 4 bytes of hash), the chunk (one of all, or each token's) and the place of their text in it, log-probability."""
+    top = (contexts >> W.U64(64 - bits) if bits else np.zeros(len(contexts), W.U64)).astype(np.uint16 if bits <= 16 else W.U64)
     order = np.argsort(top, kind="stable")
     top = top[order]
     edges = [*np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])).tolist(), len(top)]
-    rest = (contexts << W.U64(bits))[order].view(np.uint8).reshape(-1, 8)[:, 3:]
-    words, chunks, places, logs = words[order], chunks[order], places[order], logs[order]
     wide = bool(places.max() > 0xFFFF)
     places = places.astype(np.uint32 if wide else np.uint16)
     out = []
     for a, b in zip(edges, edges[1:], strict=False):
-        some, which = np.unique(chunks[a:b], return_inverse=True)
-        out.append((int(top[a]), some.tobytes(), which.astype(np.uint16).tobytes() if len(some) > 1 else b"", places[a:b].tobytes(), wide, rest[a:b].tobytes(), words[a:b].tobytes(), logs[a:b].tobytes(), b""))
+        at = order[a:b]
+        some, which = np.unique(chunks[at], return_inverse=True) if chunks.ndim else (chunks, None)
+        rest = (contexts[at] << W.U64(bits)).view(np.uint8).reshape(-1, 8)[:, 3:]
+        out.append((int(top[a]), some.tobytes(), which.astype(np.uint16).tobytes() if some.size > 1 else b"", places[at].tobytes(), wide, rest.tobytes(), words[at].tobytes(), logs[at].tobytes(), b""))
+        if len(out) == 64:
+            yield from _batches(out, TOKENS)
+            out = []
     yield from _batches(out, TOKENS)
 
 
@@ -394,9 +405,11 @@ def _emit(model: Model, bits: int):
     def close(chunk: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         contexts, words, logs = (np.concatenate([c[i] for c in chunk]) for i in range(3))
         rows, counts = np.concatenate([c[3] for c in chunk]), np.concatenate([c[4] for c in chunk])
+        chunk.clear()
+        give_back()
         name = W.mix(W.mix(rows.view(W.U64)).sum(keepdims=True) + W.U64(len(rows)))
-        places = np.repeat(np.arange(len(rows)), counts)
-        yield from _pack(contexts, words, np.full(len(words), name.view(np.int64)[0]), places, logs, bits)
+        places = np.repeat(np.arange(len(rows), dtype=np.uint32), counts)
+        yield from _pack(contexts, words, name.view(np.int64).reshape(()), places, logs, bits)
         top = int(name[0] >> W.U64(64 - bits)) if bits else 0
         yield from _batches([(top, name.tobytes(), b"", b"", False, b"", b"", b"", rows.tobytes())], TOKENS)
 
@@ -427,13 +440,13 @@ def mixed_logs(contexts: np.ndarray, words: np.ndarray, logs: np.ndarray, known:
     (times the word stands there besides + PRIOR p) / (tokens there besides + PRIOR), with p of the network.
     ``known``: (contexts in order, times the word stands there, tokens there) of those whose tokens are not all here.
     """
-    _, group, there = np.unique(contexts, return_inverse=True, return_counts=True)
-    pair = np.lexsort((words, group))
-    g, w = group[pair], words[pair]
-    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])]))
-    same = np.empty(len(pair), np.int64)
-    same[pair] = np.repeat(np.diff(np.append(first, len(pair))), np.diff(np.append(first, len(pair))))
-    there = there[group]
+    pair = np.lexsort((words, contexts))
+    c, w = contexts[pair], words[pair]
+    new = np.concatenate([[True], c[1:] != c[:-1]])
+    there, same = np.empty(len(pair), np.int64), np.empty(len(pair), np.int64)
+    for counts, first in ((there, new), (same, new | np.concatenate([[True], w[1:] != w[:-1]]))):
+        sizes = np.diff(np.append(np.flatnonzero(first), len(pair)))
+        counts[pair] = np.repeat(sizes, sizes)
     if known is not None:
         place = np.minimum(np.searchsorted(known[0], contexts), len(known[0]) - 1)
         found = np.flatnonzero(known[0][place] == contexts)
@@ -441,17 +454,28 @@ def mixed_logs(contexts: np.ndarray, words: np.ndarray, logs: np.ndarray, known:
     return np.log((same - 1 + PRIOR * np.exp(logs)) / (there - 1 + PRIOR))
 
 
-def _unpacked(row: dict, bits: int) -> tuple[np.ndarray, ...]:
-    """(contexts, words, chunks, places, logs) of a packed row."""
-    places = np.frombuffer(row["places"], np.uint32 if row["wide"] else np.uint16)
-    full = np.zeros((len(places), 8), np.uint8)
+def _tokens(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, words, logs) of a packed row."""
+    words = np.frombuffer(row["words"], np.uint32)
+    full = np.zeros((len(words), 8), np.uint8)
     full[:, 3:] = np.frombuffer(row["contexts"], np.uint8).reshape(-1, 5)
     contexts = full.view(W.U64).ravel()
     if bits:
         contexts = contexts >> W.U64(bits) | W.U64(row["bucket"]) << W.U64(64 - bits)
-    some = np.frombuffer(row["chunks"], np.int64)
-    chunks = some[np.frombuffer(row["which"], np.uint16)] if row["which"] else np.full(len(places), some[0])
-    return contexts, np.frombuffer(row["words"], np.uint32), chunks, places, np.frombuffer(row["logs"], np.uint8)
+    return contexts, words, np.frombuffer(row["logs"], np.uint8)
+
+
+def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, which of them each token of a packed row is of, places)."""
+    places = np.frombuffer(row["places"], np.uint32 if row["wide"] else np.uint16)
+    return np.frombuffer(row["chunks"], np.int64), np.frombuffer(row["which"], np.uint16) if len(row["which"]) else np.zeros(len(places), np.uint16), places
+
+
+def _unpacked(row: dict, bits: int) -> tuple[np.ndarray, ...]:
+    """(contexts, words, chunks, places, logs) of a packed row."""
+    contexts, words, logs = _tokens(row, bits)
+    some, which, places = _texts(row)
+    return contexts, words, some[which], places, logs
 
 
 def _finer(bits: int, more: int):
@@ -489,32 +513,62 @@ def _sorted(known: list[list[np.ndarray]], kept: int) -> tuple[np.ndarray, np.nd
     return meet[order], same[order], there[order]
 
 
-def _meet(bits: int, kept: int):
-    """Of the tokens of a bucket of contexts, the summed log-probabilities by chunk and place, in millionths (whole numbers add up the same in any order)."""
-
-    def meet(rows):
-        rows, out = rows.to_pylist(), []
-        out = [(int(np.frombuffer(r["chunks"], np.int64)[0]), b"", False, b"", b"", r["rows"]) for r in rows if r["rows"]]
-        packed = [_unpacked(r, bits) for r in rows if r["chunks"] and not r["rows"]]
-        known = [[np.frombuffer(r["contexts"], W.U64) for r in rows if not r["chunks"]], *[[np.frombuffer(r[c], np.int64) for r in rows if not r["chunks"]] for c in ("words", "logs")]]
-        if packed:
-            contexts, words, chunks, places, logs = map(np.concatenate, zip(*packed, strict=True))
-            values = np.round(1e6 * mixed_logs(contexts, words, -LOG_STEP * logs.astype(np.float64), _sorted(known, kept)))
-            names, which = np.unique(chunks, return_inverse=True)
+def _in_place(table: pa.Table) -> list[dict]:
+    """Rows of a table, their binary values not copied."""
+    return [
+        {c: v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.as_py() for c, v in zip(table.column_names, row, strict=True)}
+        for batch in table.to_batches()
+        for row in zip(*batch.columns, strict=True)
+    ]
+
+
+def _millionths(packed: list[dict], bits: int, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Log-probabilities of the tokens of all rows, some contexts at a time, so that memory follows ``MEET_TOKENS``."""
+    sizes = [len(r["words"]) // 4 for r in packed]
+    ends = np.cumsum(sizes).tolist()
+    contexts, words, logs = (np.empty(ends[-1], kind) for kind in (W.U64, np.uint32, np.uint8))
+    for r, n, z in zip(packed, sizes, ends, strict=True):
+        contexts[z - n : z], words[z - n : z], logs[z - n : z] = _tokens(r, bits)
+    more = min(8, (ends[-1] // MEET_TOKENS).bit_length())
+    part = (contexts >> W.U64(64 - bits - more)).astype(np.uint8) & np.uint8((1 << more) - 1) if more else np.zeros(ends[-1], np.uint8)
+    out = np.empty(ends[-1], np.int32)  # a log-probability is some -60 at least
+    for k in range(1 << more):
+        at = np.flatnonzero(part == k)
+        if len(at):
+            out[at] = np.round(1e6 * mixed_logs(contexts[at], words[at], -LOG_STEP * logs[at].astype(np.float64), known))
+    return out
+
+
+def _summed(rows: list[dict], bits: int, kept: int) -> pa.Table:
+    out = [(int(np.frombuffer(r["chunks"], np.int64)[0]), b"", False, b"", b"", r["rows"].to_pybytes()) for r in rows if len(r["rows"])]
+    packed = [r for r in rows if len(r["chunks"]) and not len(r["rows"])]
+    frequent = [r for r in rows if not len(r["chunks"])]
+    if packed:
+        known = [[np.frombuffer(r[c], kind) for r in frequent] for c, kind in (("contexts", W.U64), ("words", np.int64), ("logs", np.int64))]
+        values, z = _millionths(packed, bits, _sorted(known, kept)), 0
+        for r in packed:
+            names, which, places = _texts(r)
             order = np.lexsort((places, which))
-            which, places, values = which[order], places[order], values[order]
+            which, places, some = which[order], places[order], values[z : z + len(order)][order]
+            z += len(order)
             first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (places[1:] != places[:-1])]))
-            totals = np.add.reduceat(values, first).astype(np.int64)
-            counts = np.diff(np.append(first, len(values))).astype(np.uint32)
+            totals = np.add.reduceat(some, first, dtype=np.int64)
+            counts = np.diff(np.append(first, len(some))).astype(np.uint32)
             which, places = which[first], places[first]
-            edges = np.searchsorted(which, np.arange(len(names) + 1))
-            wide = bool(places.max() > 0xFFFF)
-            places = places.astype(np.uint32 if wide else np.uint16)
-            small = np.abs(totals).max() < 2**31
-            totals = totals.astype(np.int32 if small else np.int64)
+            edges = np.searchsorted(which, np.arange(len(names) + 1)).tolist()
+            totals = totals.astype(np.int32 if np.abs(totals).max() < 2**31 else np.int64)
             counts = counts.astype(np.uint8) if counts.max() < 256 else counts
-            out += [(int(c), places[a:b].tobytes(), wide, totals[a:b].tobytes(), counts[a:b].tobytes(), b"") for c, a, b in zip(names, edges[:-1], edges[1:], strict=True)]
-        return pa.Table.from_batches(_batches(out, SUMS)) if out else pa.table([pa.array([], k) for k in (pa.int64(), pa.binary(), pa.bool_(), *[pa.binary()] * 3)], names=[c.split()[0] for c in SUMS.split(", ")])
+            out += [(int(c), places[a:b].tobytes(), r["wide"], totals[a:b].tobytes(), counts[a:b].tobytes(), b"") for c, a, b in zip(names, edges[:-1], edges[1:], strict=True)]
+    return pa.Table.from_batches(_batches(out, SUMS)) if out else pa.table([pa.array([], k) for k in (pa.int64(), pa.binary(), pa.bool_(), *[pa.binary()] * 3)], names=[c.split()[0] for c in SUMS.split(", ")])
+
+
+def _meet(bits: int, kept: int):
+    """Of the tokens of a bucket of contexts, the summed log-probabilities by chunk and place, in millionths (whole numbers add up the same in any order)."""
+
+    def meet(rows):
+        out = _summed(_in_place(rows), bits, kept)
+        give_back()
+        return out
 
     return meet
 
@@ -559,10 +613,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     bits = max(0, (int(size) // WORD_BYTES // CHUNK_TOKENS).bit_length())
     at = min(bits, EXCHANGE_BITS)
     kept = 40 + at
-    tokens = keyed.mapInArrow(_emit(model, at), TOKENS)
+    tokens = keyed.mapInArrow(lean(_emit(model, at)), TOKENS)
     while at < bits:
         more = min(bits, at + EXCHANGE_BITS)
-        tokens = tokens.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_finer(at, more), TOKENS)
+        tokens = tokens.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_finer(at, more)), TOKENS)
         at = more
     if (model.parts > 1).any():
         tokens = tokens.unionByName(_frequent(keyed, model, bits))
